@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import bpe, html_extract, license_scan, token_counts
+from studyloom.llm import bpe, html_extract, langid, license_scan, token_counts, toxicity
 from studyloom.llm.common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -17,6 +17,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -26,14 +30,20 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_toxicity": op2_toxicity,
     "op5_bpe": op5_bpe,
     "op7_html_extract": op7_html_extract,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
