@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import bpe, html_extract, langid, license_scan, token_counts, toxicity
+from studyloom.llm import bpe, embed_dedup, html_extract, langid, license_scan, token_counts, toxicity, warc
 from studyloom.llm.common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -38,15 +42,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_bpe": op5_bpe,
     "op7_html_extract": op7_html_extract,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
+    "op4_warc_revisits": warc.oracle(),
+    "op10_embedding_dedup": embed_dedup.oracle(),
 }
