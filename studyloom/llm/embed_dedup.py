@@ -41,7 +41,7 @@ BATCH_ROWS = 8192
 #: Buckets up to this size pair all their leaders; larger ones pair by components.
 BUCKET_ALL = 64
 #: Vectors in one block of a component's comparison.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 SEED = 20240501
 
 

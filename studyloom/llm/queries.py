@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import bpe, embed_dedup, html_extract, langid, license_scan, token_counts, toxicity, warc
+from studyloom.llm import bpe, decontam, embed_dedup, html_extract, langid, license_scan, token_counts, toxicity, warc
 from studyloom.llm.common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_bpe": op5_bpe,
     "op7_html_extract": op7_html_extract,
