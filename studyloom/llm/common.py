@@ -83,7 +83,7 @@ def chunks(rows: Iterable, weight, limit: int) -> Iterator[list]:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for a plan; used to size partition counts, never to change results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def temp_root() -> str:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import bpe, decontam, embed_dedup, html_extract, langid, license_scan, token_counts, toxicity, warc
+from studyloom.llm import bpe, decontam, embed_dedup, html_extract, langid, license_scan, ngram_join, token_counts, toxicity, warc
 from studyloom.llm.common import table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -38,6 +38,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_bpe": op5_bpe,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_html_extract": op7_html_extract,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
@@ -65,5 +70,6 @@ QUERIES = {
 ORACLES = {
     "op1_license_scan": license_scan.oracle(),
     "op4_warc_revisits": warc.oracle(),
+    "op6_ngram_jaccard_join": ngram_join.oracle(),
     "op10_embedding_dedup": embed_dedup.oracle(),
 }
