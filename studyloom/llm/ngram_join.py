@@ -4,10 +4,8 @@ A text's set holds its distinct five-word shingles as 64-bit hashes.  Two sets l
 ``100 * |x & y| >= 75 * |x | y|``.  The result is the class of every text under the links; no list of
 all pairs of a group is ever built, yet no link between different texts is lost:
 
-* Order: shingles that a counted share of all texts holds come last, the rest first, each part by
-  hash.  Counting covers every text: a task reports the shingles that are frequent among the texts it
-  holds, so one that is frequent overall is frequent in some task, and the list has a bound (mean set
-  size over the share) that lets it travel with the tasks.
+* Order: shingles that many texts hold come last, the rest first, each part by hash.  The texts of
+  each shingle are counted exactly, over all texts, through a shuffle of four bytes per shingle.
 * Index: only the prefix of a set, its first ``n - ceil(3n / 4) + 1`` shingles, enters the inverted
   lists.  Equal sets of one task enter once; the others take their class from it.
 * Skipping: a list knows each set's size and how many shingles follow the shared one.  Pairs whose
@@ -42,8 +40,8 @@ from studyloom.llm.graph import connected_components
 SHINGLE = 5
 #: Link when LINK_TOP * intersection >= LINK_LOW * union.
 LINK_TOP, LINK_LOW = 100, 75
-#: A shingle is frequent when one text in FREQUENT_SHARE holds it, and at least FREQUENT_LEAST do.
-FREQUENT_SHARE, FREQUENT_LEAST = 2000, 12
+#: A shingle is frequent when so many texts hold it; at most FREQUENT_MOST names travel with the tasks.
+FREQUENT_LEAST, FREQUENT_MOST = 16, 4_000_000
 #: Shingles that a task gathers before it counts or deals them out.
 GROUP_SHINGLES = 3_000_000
 #: Lists up to this length pair all their sets at once.
@@ -109,35 +107,57 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles that at least one text in 2 * FREQUENT_SHARE surely holds, among them all that one in FREQUENT_SHARE holds."""
+def place_of(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, 32-bit token) of shingles; together they name a shingle's inverted list."""
+    return ((shingles & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32), (shingles >> np.uint64(32)).astype("<u4")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, size, total = [], 0, 0, 0
 
-        def report() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(2, rows // (2 * FREQUENT_SHARE))
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+def packed_parts(part: np.ndarray, values: np.ndarray, kind: str) -> pa.RecordBatch:
+    """One row per part with its values as bytes."""
+    order = np.argsort(part, kind="stable")
+    part, values = part[order], values[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends = np.r_[starts[1:], len(part)]
+    return rows_of(kind=kind, part=part[starts].astype(np.int32), blob=[values[s:e].tobytes() for s, e in zip(starts, ends, strict=True)])
+
+
+def frequent_shingles(texts: DataFrame, parts: int) -> np.ndarray:
+    """Sorted names (part << 32 | token) of the shingles that FREQUENT_LEAST texts or more hold.
+
+    Counted exactly over all texts, for the half of each set that comes first by hash: a prefix is a
+    quarter, so this covers every prefix from which up to a quarter of the set moves to the end.  If
+    the names are more than FREQUENT_MOST the least count doubles until they fit.
+    """
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            total += batch.num_rows
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text)
-                held.append(found)
-                rows += 1
-                size += len(found)
-                if size >= GROUP_SHINGLES:
-                    yield report()
-                    held, rows, size = [], 0, 0
-        if held:
-            yield report()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], names=["token", "n"])
+                held.append(found[: len(found) // 2 + 1])
+                size += len(held[-1])
+            if size >= GROUP_SHINGLES:
+                yield packed_parts(*place_of(np.concatenate(held), parts), "tokens")
+                held, size = [], 0
+        if size:
+            yield packed_parts(*place_of(np.concatenate(held), parts), "tokens")
 
-    counted = materialize(texts.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter(f"token IS NULL OR n >= {FREQUENT_LEAST}"))
-    total = counted.filter("token IS NULL").agg(F.sum("n")).first()[0] or 0
-    often = counted.filter(F.col("token").isNotNull() & (F.col("n") >= max(FREQUENT_LEAST, total // (2 * FREQUENT_SHARE))))
-    return np.sort(often.select("token").toArrow().column(0).to_numpy().view(np.uint64))  # at most 2 * FREQUENT_SHARE * mean set size
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(1).to_pylist(), batch.column(6), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(blob.as_buffer(), "<u4").copy())
+        for part in sorted(held):
+            values, counts = np.unique(np.concatenate(held.pop(part)), return_counts=True)
+            often = counts >= FREQUENT_LEAST
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64) | part << 32), pa.array(counts[often].astype(np.int64))], names=["name", "n"])
+
+    dealt = texts.mapInArrow(deal, ROWS_DDL).repartition(max(16, parts // 4), "part")
+    often = materialize(dealt.mapInArrow(count, "name bigint, n bigint"))
+    least = FREQUENT_LEAST
+    while often.filter(F.col("n") >= least).count() > FREQUENT_MOST:
+        least *= 2
+    return np.sort(often.filter(F.col("n") >= least).select("name").toArrow().column(0).to_numpy())  # at most FREQUENT_MOST
 
 
 def indexed(texts: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
@@ -149,15 +169,6 @@ def indexed(texts: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
         known: dict[bytes, int] = {}
         size = 0
 
-        def packed() -> pa.RecordBatch:
-            everything, part = np.concatenate(entries), np.concatenate(places)
-            order = np.argsort(part, kind="stable")
-            everything, part = everything[order], part[order]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[starts[1:], len(part)]
-            blobs = [everything[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-            return rows_of(kind="entries", part=part[starts].astype(np.int32), blob=blobs)
-
         for batch in batches:
             ids, profiles, links = batch.column(0).to_pylist(), [], []
             for doc, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -169,16 +180,18 @@ def indexed(texts: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                 if (first := known.setdefault(mark, doc)) != doc:
                     links.append((first, doc))
                     continue
-                at = np.searchsorted(frequent, found)
-                often = frequent[np.minimum(at, len(frequent) - 1)] == found if len(frequent) else np.zeros(len(found), bool)
+                part, token = place_of(found, parts)
+                name = token.astype(np.int64) | part.astype(np.int64) << 32
+                at = np.searchsorted(frequent, name)
+                often = frequent[np.minimum(at, len(frequent) - 1)] == name if len(frequent) else np.zeros(len(found), bool)
                 length = prefix_length(len(found))
-                prefix = np.concatenate([found[~often][:length], found[often][: max(0, length - int((~often).sum()))]])
+                prefix = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[:length]
                 entry = np.empty(len(prefix), ENTRY)
-                entry["token"], entry["node"], entry["size"] = prefix >> np.uint64(32), doc, len(found)
+                entry["token"], entry["node"], entry["size"] = token[prefix], doc, len(found)
                 rest = len(found) - 1 - np.arange(len(prefix))
                 entry["rest"] = -(-rest * 65535 // len(found))  # share of the set that follows, rounded up
                 entries.append(entry)
-                places.append(((prefix & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32))
+                places.append(part[prefix])
                 size += len(found)
             if profiles:
                 doc, n, mark, sketch = zip(*profiles, strict=True)
@@ -187,12 +200,12 @@ def indexed(texts: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                 a, b = zip(*links, strict=True)
                 yield rows_of(kind="link", part=np.array([d % parts for d in b], np.int32), a=a, b=b)
             if size >= GROUP_SHINGLES:
-                yield packed()
+                yield packed_parts(np.concatenate(places), np.concatenate(entries), "entries")
                 entries, places, size = [], [], 0
             if len(known) > 1_000_000:
                 known = {}
         if entries:
-            yield packed()
+            yield packed_parts(np.concatenate(places), np.concatenate(entries), "entries")
 
     return texts.mapInArrow(deal, ROWS_DDL)
 
@@ -344,8 +357,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """(id, n_shingles, component_id) of every row; the ids are integers."""
     small_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    frequent = frequent_shingles(texts)
     parts = max(64, input_bytes(df) // PART_BYTES)
+    frequent = frequent_shingles(texts, parts)
     dealt = indexed(texts, frequent, parts).repartition(max(16, parts // 4), "part")
     joined = materialize(join_lists(dealt))
     profiles = joined.filter("kind = 'profile'")
