@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 
 from studyloom.functions.text import signature, spaced
 
-DOC = Window.partitionBy("doc_id")
-ORDER = DOC.orderBy("ord")
+
+def in_doc():  # noqa: ANN201
+    """The window of a document (made late: a window needs a session)."""
+    return Window.partitionBy("doc_id")
+
+
+def in_order():  # noqa: ANN201
+    return in_doc().orderBy("ord")
+
 
 # Patterns and tables of the cleaning passes.
 CONTROL = r"[\x00-\x08\x0b-\x1f\x7f-\u009f]"
@@ -45,7 +52,7 @@ def strip_control(blocks: DataFrame) -> DataFrame:
 
 def broken_math_font(blocks: DataFrame, least: int = 3) -> DataFrame:
     """``blocks`` with ``broken_font``: whether the document shows enough evidence of a mis-mapped font."""
-    return blocks.withColumn("broken_font", F.sum(F.regexp_count("text", F.lit(MATH_FONT_EVIDENCE))).over(DOC) >= least)
+    return blocks.withColumn("broken_font", F.sum(F.regexp_count("text", F.lit(MATH_FONT_EVIDENCE))).over(in_doc()) >= least)
 
 
 def repair_math_font(blocks: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def repair_dash_as_e(blocks: DataFrame) -> DataFrame:
 
 def line_number_stats(numbers: DataFrame, total: str = "total_lines") -> DataFrame:
     """Per document: the four tests of (doc_id, at, v, total_lines) rows of lone integers, and their verdict."""
-    step = F.col("v") - F.lag("v").over(DOC.orderBy("at"))
+    step = F.col("v") - F.lag("v").over(in_doc().orderBy("at"))
     stats = (
         numbers.withColumn("step", step)
         .groupBy("doc_id")
@@ -75,7 +82,7 @@ def line_number_stats(numbers: DataFrame, total: str = "total_lines") -> DataFra
 
 def strip_line_numbers(blocks: DataFrame) -> DataFrame:
     """Lone integers go from documents whose integers pass the sequence tests."""
-    lines = blocks.select("doc_id", "ord", "kind", F.posexplode(F.split("text", "\n")).alias("line", "value")).withColumn("total_lines", F.count("*").over(DOC))
+    lines = blocks.select("doc_id", "ord", "kind", F.posexplode(F.split("text", "\n")).alias("line", "value")).withColumn("total_lines", F.count("*").over(in_doc()))
     multi = F.count("*").over(Window.partitionBy("doc_id", "ord")) > 1
     lone = lines.withColumn("multi", multi).filter(F.col("multi") & ~F.col("kind").isin("table", "code", "reference") & F.col("value").rlike(r"^\s*\d{1,4}\s*$"))
     at = F.struct("ord", "line")
@@ -95,7 +102,7 @@ def split_stacked_headings(blocks: DataFrame) -> DataFrame:
 
 def renumber(blocks: DataFrame, *then: str) -> DataFrame:
     """``ord`` counted anew from 0, by the old order and the columns in ``then``, which go."""
-    return blocks.withColumn("ord", (F.row_number().over(DOC.orderBy("ord", *then)) - 1).cast("int")).drop(*then)
+    return blocks.withColumn("ord", (F.row_number().over(in_doc().orderBy("ord", *then)) - 1).cast("int")).drop(*then)
 
 
 def dehyphenated(text: Column) -> Column:
@@ -155,10 +162,10 @@ def merge_continuations(blocks: DataFrame) -> DataFrame:
     """Paragraph fragments rejoined across page furniture; adds ``merged_from`` and ``spans_pages``."""
     transparent = (F.col("kind") == "page_artifact") | ((F.col("kind") == "figure") & (F.trim(F.coalesce("text", F.lit(""))) == ""))
     solid = F.when(~transparent, F.struct("kind", "text"))
-    before = F.last(solid, ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(solid, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     joins = F.coalesce(~transparent & continues(before["kind"], before["text"], F.col("kind"), F.col("text")), F.lit(False))
     rows = blocks.withColumn("transparent", transparent).withColumn("joins", joins)
-    island = F.sum(F.when(F.col("joins") | F.col("transparent"), 0).otherwise(1)).over(ORDER)
+    island = F.sum(F.when(F.col("joins") | F.col("transparent"), 0).otherwise(1)).over(in_order())
     rows = rows.withColumn("island", F.when(F.col("transparent"), -F.col("ord") - 1).otherwise(island))
     piece = F.struct("ord", "text", "page")
     first = F.min_by(F.struct(*(c for c in blocks.columns if c not in ("doc_id", "text"))), "ord")
@@ -229,13 +236,13 @@ def front_matter(blocks: DataFrame, window: int = 40) -> DataFrame:
     ``window`` blocks.
     """
     structural = (F.col("kind") == "heading") & (role_for_heading().isNotNull() | F.col("text").rlike(r"^\s*\d+(?:\.\d+)*[.)]?\s+\S"))
-    first_page = F.first("page", ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    end = F.min(F.when(structural | (F.col("page") != first_page) | (F.col("ord") >= window), F.col("ord"))).over(DOC)
+    first_page = F.first("page", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    end = F.min(F.when(structural | (F.col("page") != first_page) | (F.col("ord") >= window), F.col("ord"))).over(in_doc())
     rows = blocks.withColumn("front", F.col("ord") < F.coalesce(end, F.lit(window)))
     candidate = F.col("front") & (F.trim("text") != "") & (F.col("kind") != "page_artifact")
     size = F.coalesce("font_max", F.lit(0.0)) if "font_max" in blocks.columns else F.lit(0.0)
-    rank = F.when(candidate, F.sum(candidate.cast("int")).over(ORDER))
-    rows = rows.withColumn("place", rank).withColumn("title_ord", F.max_by(F.when(F.col("place") <= 5, F.col("ord")), F.when(F.col("place") <= 5, F.struct(size, -F.col("ord")))).over(DOC))
+    rank = F.when(candidate, F.sum(candidate.cast("int")).over(in_order()))
+    rows = rows.withColumn("place", rank).withColumn("title_ord", F.max_by(F.when(F.col("place") <= 5, F.col("ord")), F.when(F.col("place") <= 5, F.struct(size, -F.col("ord")))).over(in_doc()))
     after = candidate & (F.col("ord") > F.col("title_ord"))
     label = (
         F.when(F.col("text").rlike(BOILERPLATE_HINT), F.lit("boilerplate"))
@@ -243,7 +250,7 @@ def front_matter(blocks: DataFrame, window: int = 40) -> DataFrame:
         .when(F.col("text").rlike(r"(?i)^\s*(abstract|summary)\b"), F.lit("abstract"))
     )
     rows = rows.withColumn("label", F.when(after, label))
-    sticky = F.last("label", ignorenulls=True).over(ORDER)
+    sticky = F.last("label", ignorenulls=True).over(in_order())
     separators, capitals = F.regexp_count("text", F.lit("[,;·•]")), F.regexp_count("text", F.lit(r"(?<!\S)\p{Lu}"))
     authors = (F.length("text") <= 400) & ~F.trim("text").endswith(".") & (separators >= 1) & (capitals >= 2) & (F.size(F.split(F.trim("text"), r"\s+")) <= 60)
     guess = F.when(sticky == "abstract", F.lit("abstract")).when(F.col("text").rlike(r"[\w.+-]+@[\w-]+\.[\w.]+") | F.col("text").rlike(AFFILIATION_HINT), F.lit("affiliation")).when(authors, F.lit("authors"))
@@ -257,7 +264,7 @@ def assign_sections(blocks: DataFrame) -> DataFrame:
     """Front matter, then for every other block its heading (``section``), parent and role."""
     rows = front_matter(blocks).withColumn("named", F.when(F.col("kind") == "heading", role_for_heading()))
     body = ~F.col("front")
-    section = F.last(F.when(body & (F.col("kind") == "heading"), F.col("ord")), ignorenulls=True).over(ORDER)
+    section = F.last(F.when(body & (F.col("kind") == "heading"), F.col("ord")), ignorenulls=True).over(in_order())
     rows = rows.withColumn("section", section)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", parent int"
 

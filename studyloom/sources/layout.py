@@ -9,21 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = Window.partitionBy("doc_id", "page")
 FULL_SHARE, STRADDLE = 0.68, 0.035
 MATH = r"[=+×÷±∑∫∂√∞≈≠≤≥<>^_{}\\|∝∇Δ∈→α-ωΑ-Ω]"
 
 
+def page_window():  # noqa: ANN201
+    """The window of a page (made late: a window needs a session)."""
+    return Window.partitionBy("doc_id", "page")
+
+
 def two_columns(raw: DataFrame) -> DataFrame:
     """``raw`` with ``two_column``: at least four blocks, two on each side, and no overlap between the sides."""
-    left, right = F.min("bbox.x0").over(PAGE), F.max("bbox.x1").over(PAGE)
+    left, right = F.min("bbox.x0").over(page_window()), F.max("bbox.x1").over(page_window())
     middle = (left + right) / 2
     on_left = (F.col("bbox.x0") + F.col("bbox.x1")) / 2 < F.col("mid")
     narrow = (F.col("bbox.x1") - F.col("bbox.x0")) < FULL_SHARE * (F.col("hi") - F.col("lo"))
     rows = raw.withColumns({"mid": middle, "lo": left, "hi": right}).withColumn("on_left", on_left).withColumn("narrow", narrow)
-    count = lambda c: F.sum(c.cast("int")).over(PAGE)
+    count = lambda c: F.sum(c.cast("int")).over(page_window())
     sides = (count(F.col("narrow")) >= 4) & (count(F.col("narrow") & F.col("on_left")) >= 2) & (count(F.col("narrow") & ~F.col("on_left")) >= 2)
-    apart = F.max(F.when(F.col("narrow") & F.col("on_left"), F.col("bbox.x1"))).over(PAGE) <= F.min(F.when(F.col("narrow") & ~F.col("on_left"), F.col("bbox.x0"))).over(PAGE) + 2
+    apart = F.max(F.when(F.col("narrow") & F.col("on_left"), F.col("bbox.x1"))).over(page_window()) <= F.min(F.when(F.col("narrow") & ~F.col("on_left"), F.col("bbox.x0"))).over(page_window()) + 2
     return rows.withColumn("two_column", F.coalesce(sides & apart, F.lit(False)))
 
 
