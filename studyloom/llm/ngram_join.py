@@ -124,17 +124,15 @@ def packed_parts(part: np.ndarray, values: np.ndarray, kind: str) -> pa.RecordBa
 def frequent_shingles(texts: DataFrame, parts: int) -> np.ndarray:
     """Sorted names (part << 32 | token) of the shingles that FREQUENT_LEAST texts or more hold.
 
-    Counted exactly over all texts, for the half of each set that comes first by hash: a prefix is a
-    quarter, so this covers every prefix from which up to a quarter of the set moves to the end.  If
-    the names are more than FREQUENT_MOST the least count doubles until they fit.
+    Every shingle of every text is counted.  If the names are more than FREQUENT_MOST the least count
+    doubles until they fit.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                found = shingle_set(text)
-                held.append(found[: len(found) // 2 + 1])
+                held.append(shingle_set(text))
                 size += len(held[-1])
             if size >= GROUP_SHINGLES:
                 yield packed_parts(*place_of(np.concatenate(held), parts), "tokens")
