@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import small_batches
+from studyloom.llm.common import release_memory, small_batches
 from studyloom.llm.token_counts import byte_alphabet
 
 #: Characters in one leaf of the tree, in one library call, and in a text that one task encodes alone.
-LEAF_CHARS, CALL_CHARS, TASK_CHARS = 16_384, 1_000_000, 4_000_000
+LEAF_CHARS, CALL_CHARS, TASK_CHARS = 16_384, 200_000, 4_000_000
 FIRST_WINDOW = 8
 
 
@@ -211,6 +211,7 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_
                 found = codec.encode_all(texts[start:end], leaf_chars)
                 yield out(batch.column(0).slice(start, end - start), [row(codec, t, f) for t, f in zip(texts[start:end], found, strict=True)])
                 start = end
+        release_memory()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer_path)

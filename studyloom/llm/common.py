@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException  # noqa: F401  (re-exported for callers)
 
 #: Rows in one Arrow batch handed to Python: whole texts ride in these batches, so keep them small.
 ARROW_ROWS = 512
@@ -68,23 +67,15 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def chunks(rows: Iterable, weight, limit: int) -> Iterator[list]:
-    """Consecutive runs of rows whose summed weight stays near ``limit``."""
-    run, total = [], 0
-    for row in rows:
-        run.append(row)
-        total += weight(row)
-        if total >= limit:
-            yield run
-            run, total = [], 0
-    if run:
-        yield run
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for a plan; used to size partition counts, never to change results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def temp_root() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
+def release_memory() -> None:
+    """Hand freed memory back to the system: idle Python workers are kept and reused by later stages."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to do

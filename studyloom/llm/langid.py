@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import crc_mod, small_batches
+from studyloom.llm.common import crc_mod, release_memory, small_batches
 
 #: Bound of the labelled sample that the model is fitted on, for each language.
 SAMPLE_PER_LANG = 1000
@@ -189,6 +189,7 @@ def predict_languages(df: DataFrame, model: Model, text_col: str = "text", id_co
         for batch in batches:
             found = [model.predict(t, dense) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*out_names, "lang_pred", "score"])
+        release_memory()
 
     schema = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in out_names)
     scored = source.mapInArrow(predict, f"{schema}, lang_pred string, score double")

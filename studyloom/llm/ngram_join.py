@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from studyloom.llm.common import input_bytes, materialize, small_batches
+from studyloom.llm.common import input_bytes, materialize, release_memory, small_batches
 from studyloom.llm.graph import connected_components
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ LINK_TOP, LINK_LOW = 100, 75
 #: A shingle is frequent when so many texts hold it; at most FREQUENT_MOST names travel with the tasks.
 FREQUENT_LEAST, FREQUENT_MOST = 16, 4_000_000
 #: Shingles that a task gathers before it counts or deals them out.
-GROUP_SHINGLES = 3_000_000
+GROUP_SHINGLES = 1_500_000
 #: Lists up to this length pair all their sets at once.
 SHORT_LIST = 8
 #: Sets compared at a time in a long list.
@@ -139,6 +139,8 @@ def frequent_shingles(texts: DataFrame, parts: int) -> np.ndarray:
                 held, size = [], 0
         if size:
             yield packed_parts(*place_of(np.concatenate(held), parts), "tokens")
+        held = []
+        release_memory()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -204,6 +206,8 @@ def indexed(texts: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                 known = {}
         if entries:
             yield packed_parts(np.concatenate(places), np.concatenate(entries), "entries")
+        entries, places, known = [], [], {}
+        release_memory()
 
     return texts.mapInArrow(deal, ROWS_DDL)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import crc_mod, small_batches
+from studyloom.llm.common import crc_mod, release_memory, small_batches
 
 #: Bound of the labelled sample that the model is fitted on, for each label.
 SAMPLE_PER_LABEL = 4000
@@ -150,6 +150,7 @@ def score_texts(df: DataFrame, model: Model, text_col: str = "text", id_col: str
         for batch in batches:
             scores = [model.score(t, dense) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64())], names=[*out_names, "score"])
+        release_memory()
 
     kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep or [])]
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *kept)
