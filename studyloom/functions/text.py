@@ -6,6 +6,8 @@ them alike; a no-break space counts as a space.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: a lambda binds it, so the optimizer cannot copy it into other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spaced(text: str | Column) -> Column:
     return F.replace(F.coalesce(col(text), F.lit("")), F.lit(NBSP), F.lit(" "))
 
@@ -59,15 +66,13 @@ def tokens(text: str | Column) -> Column:
 
 
 def ngrams(tokens_col: str | Column, size: int) -> Column:
-    t = col(tokens_col)
-    return F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(col(tokens_col), lambda t: F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, size), " "))).otherwise(none))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Of two arrays as sets; 0 when either is empty."""
-    a, b = col(a), col(b)
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return let(F.struct(col(a).alias("a"), col(b).alias("b")), lambda p: F.when((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(p["a"], p["b"])) / F.size(F.array_union(p["a"], p["b"]))))
 
 
 def signature(text: str | Column) -> Column:

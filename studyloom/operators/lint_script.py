@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from studyloom.config import Profile
 from studyloom.functions.spoken import unresolved_opening
-from studyloom.functions.text import jaccard, sentences, word_count
+from studyloom.functions.text import jaccard, ngrams, sentences, word_count
 from studyloom.operators.exposure import exposure_log, spaced
 from studyloom.operators.grounding import findings
 from studyloom.schema import GENERATED_TYPES, NON_CONTENT_ROLES, TEACHING_TYPES
@@ -50,8 +50,7 @@ def bag(text: str | Column) -> Column:
 
 
 def runs(text: str | Column, size: int = RUN) -> Column:
-    w = words_of(text)
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
+    return ngrams(words_of(text), size)
 
 
 def verbatim(a: Column, b: Column) -> Column:
