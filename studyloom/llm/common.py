@@ -67,11 +67,6 @@ def crc_mod(column: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for a plan; used to size partition counts, never to change results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def release_memory() -> None:
     """Hand freed memory back to the system: idle Python workers are kept and reused by later stages."""
     gc.collect()

@@ -58,7 +58,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-THRESHOLD = 0.8
+THRESHOLD = 0.92
 
 MATCH = "array<struct<block:int,label:string,overlap:int,size:int,containment:double,text:string>>"
 PLACES = "array<struct<label:string,first:bigint,last:bigint>>"

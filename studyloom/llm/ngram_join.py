@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from studyloom.llm.common import input_bytes, materialize, release_memory, small_batches
+from studyloom.llm.common import materialize, release_memory, small_batches
 from studyloom.llm.graph import connected_components
 
 SHINGLE = 5
@@ -48,8 +48,8 @@ GROUP_SHINGLES = 1_500_000
 SHORT_LIST = 8
 #: Sets compared at a time in a long list.
 BLOCK = 256
-#: Input bytes for one part of the inverted lists.
-PART_BYTES = 2 << 20
+#: Texts for one part of the inverted lists, and the most parts there may be.
+PART_ROWS, MOST_PARTS = 1000, 1 << 20
 #: Ids up to this count may be broadcast to select the texts that need exact verification.
 BROADCAST_IDS = 1_000_000
 
@@ -359,7 +359,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """(id, n_shingles, component_id) of every row; the ids are integers."""
     small_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(64, input_bytes(df) // PART_BYTES)
+    parts = min(MOST_PARTS, max(64, texts.count() // PART_ROWS))
     frequent = frequent_shingles(texts, parts)
     dealt = indexed(texts, frequent, parts).repartition(max(16, parts // 4), "part")
     joined = materialize(join_lists(dealt))
