@@ -44,6 +44,8 @@ LINK_TOP, LINK_LOW = 100, 75
 FREQUENT_LEAST, FREQUENT_MOST = 16, 4_000_000
 #: Shingles that a task gathers before it counts or deals them out.
 GROUP_SHINGLES = 1_500_000
+#: Rows in one Arrow batch; packed lists and sets ride in these batches.
+BATCH_ROWS = 64
 #: Lists up to this length pair all their sets at once.
 SHORT_LIST = 8
 #: Sets compared at a time in a long list.
@@ -357,7 +359,7 @@ def verify(pairs: DataFrame, profiles: DataFrame, texts: DataFrame) -> DataFrame
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) of every row; the ids are integers."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH_ROWS)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = min(MOST_PARTS, max(64, texts.count() // PART_ROWS))
     frequent = frequent_shingles(texts, parts)
