@@ -365,7 +365,9 @@ def figure_members(blocks: DataFrame) -> DataFrame:
     caps = blocks.filter("kind = 'caption'").select("doc_id", F.col("ord").alias("caption"), "page", F.col("bbox").alias("cap"), F.when(F.col("text").rlike(r"(?i)^\s*table"), F.lit("table")).otherwise(F.lit("figure")).alias("wants"))
     art = blocks.filter(F.col("kind").isin("figure", "table")).select("doc_id", F.col("ord").alias("member"), "page", F.col("bbox").alias("box"), F.col("kind").alias("wants"))
     near = caps.filter("cap IS NOT NULL AND page IS NOT NULL").join(art.filter("box IS NOT NULL"), ["doc_id", "page", "wants"])
-    sides = near.select("doc_id", "caption", "member", F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("box.y1") <= F.col("cap.y0") + 2).alias("fits"), (F.col("cap.y0") - F.col("box.y1")).alias("distance"), (F.col("cap.y0") - F.col("box.y0")).alias("reach")), F.struct(F.lit(1).alias("side"), (F.col("box.y0") >= F.col("cap.y1") - 2).alias("fits"), (F.col("box.y0") - F.col("cap.y1")).alias("distance"), (F.col("box.y1") - F.col("cap.y1")).alias("reach")))).alias("s")).select("doc_id", "caption", "member", "s.*").filter("fits")
+    above = near.filter("box.y1 <= cap.y0 + 2").selectExpr("doc_id", "caption", "member", "0 AS side", "cap.y0 - box.y1 AS distance", "cap.y0 - box.y0 AS reach")
+    below = near.filter("box.y0 >= cap.y1 - 2").selectExpr("doc_id", "caption", "member", "1 AS side", "box.y0 - cap.y1 AS distance", "box.y1 - cap.y1 AS reach")
+    sides = above.unionByName(below)
     walk = Window.partitionBy("doc_id", "caption", "side").orderBy("distance", "member")
     gap = F.col("distance") - F.lag("reach").over(walk)
     run = sides.withColumn("broken", (gap > FRAGMENT_GAP).cast("int")).withColumn("breaks", F.sum(F.coalesce("broken", F.lit(0))).over(walk)).filter("breaks = 0")
