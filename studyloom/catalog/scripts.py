@@ -9,7 +9,7 @@ from studyloom.catalog import sql as q
 from studyloom.catalog.text import lines
 from studyloom.config import Profile
 from studyloom.functions.text import word_count
-from studyloom.operators import evaluate, exposure, lint_script
+from studyloom.operators import elaborate, evaluate, exposure, lint_script
 from studyloom.operators.triage import triage
 from studyloom.plans.pipeline import build
 from studyloom.session import table
@@ -355,3 +355,53 @@ def cached_answers(spark: SparkSession, d: str) -> DataFrame:
     keyed = docs.withColumn("digest", F.concat_ws("-", F.col("doc_id").cast("string"), "digest"))
     out = evaluate.replay_cached(keyed, cache.select(F.concat_ws("-", F.col("digest_doc").cast("string"), "digest").alias("digest"), "answer"))
     return out.select("doc_id", F.substring_index("digest", "-", -1).alias("digest"), "answer", "hit")
+
+
+# ---------------------------------------------------------------- elaboration
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for the customers' segments as concepts of nations, supported by their names."""
+    c = table(spark, d, "customer")
+    doc = F.col("c_nationkey").cast("bigint").alias("doc_id")
+    found = c.select(doc, F.col("c_name").alias("concept_id"), F.col("c_name").alias("canonical"), (F.abs("c_acctbal") / 10000).alias("budget"), (F.col("c_custkey") % 10 / 10.0).alias("abstractness"), F.when(F.col("c_custkey") % 3 == 0, "known").alias("short_def"), *(F.lit(None).cast("string").alias(x) for x in ("anchor", "why", "analogy")))
+    support = c.select(doc, F.col("c_name").alias("concept_id"), F.lit(1).alias("rank"), F.concat_ws(" ", "c_mktsegment", F.col("c_acctbal").cast("string")).alias("text"))
+    return elaborate.plan_requests(found, support)
+
+
+@query("""WITH c AS (SELECT c_nationkey::BIGINT AS doc_id, c_name, c_custkey, abs(c_acctbal) / 10000 AS budget, (c_custkey % 10) / 10.0::DOUBLE AS ab FROM customer),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY budget DESC, c_name) AS rank FROM c WHERE budget > 0) WHERE rank <= 12),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ab >= 0.5 ORDER BY rank) AS anchor_no FROM r),
+w AS (SELECT doc_id, c_name, rank, 0 AS stage, 0 AS step, 'gloss' AS task FROM a WHERE c_custkey % 3 <> 0 UNION ALL SELECT doc_id, c_name, rank, 0, 1, 'anchor' FROM a WHERE ab >= 0.5 AND anchor_no <= 4
+ UNION ALL SELECT doc_id, c_name, rank, 0, 2, 'why' FROM a UNION ALL SELECT doc_id, c_name, rank, 1, 0, 'analogy' FROM a WHERE rank <= 3)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stage, rank, step, c_name)::INT AS position, task, c_name AS subject_id FROM w""")
+def request_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The requests that an elaboration run would make, in order and within its caps (the caps are the feature)."""
+    return _requests(spark, d).select("doc_id", "position", "task", "subject_id")
+
+
+@query()
+def request_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Answers from a fixtures table: used, refused, rejected or missing."""
+    req = _requests(spark, d)
+    fields = F.create_map(F.lit("short_def"), F.lit("a short one"), F.lit("long_def"), F.lit("a longer one"), F.lit("text"), F.when(F.col("position") % 5 == 0, F.lit("It has 987 of them.")).otherwise(F.lit("It is like a pan.")), F.lit("limit"), F.when(F.col("position") % 4 == 0, F.lit("")).otherwise(F.lit("Pans are hot.")))
+    answers = req.filter("position % 6 <> 0").select("digest", fields.alias("answer"), F.when(F.col("position") % 11 == 0, F.lit("timeout")).alias("error")).dropDuplicates(["digest"])
+    return elaborate.outcomes(req, answers).groupBy("task", "outcome", "absence").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT s_suppkey, regexp_replace(substr(regexp_replace(regexp_replace(translate(lower(s_name || ' Été n°' || s_suppkey), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '', 'g') AS slug FROM supplier""")
+def slugs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", elaborate.slugify(F.concat("s_name", F.lit(" Été n°"), F.col("s_suppkey").cast("string"))).alias("slug"))
+
+
+@query()
+def reply_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The first JSON object in wrapped replies (event properties inside prose)."""
+    ev = table(spark, d, "events").select("event_id", F.concat(F.lit("Sure! ```json "), F.coalesce("props", F.lit("")), F.lit(" ``` done }")).alias("reply"))
+    return ev.select(elaborate.extract_json("reply").alias("found")).groupBy(F.col("found").isNull().alias("missing")).agg(F.count("*").alias("n"))
+
+
+@query("WITH s AS (SELECT doc_id, lang AS a, source AS b FROM documents) SELECT a, count(*) AS n FROM s GROUP BY a")
+def signal_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by source of evidence (languages stand in)."""
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("a")).agg(F.count("*").alias("n"))
