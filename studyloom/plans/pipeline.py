@@ -25,7 +25,11 @@ class Build:
 
 
 def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener | None = None, cleaned: bool = False) -> Build:
-    """Programmes for every document of ``blocks`` (as the sources return them)."""
+    """Programmes for every document of ``blocks`` (as the sources return them).
+
+    Sentences, candidates, mentions and plans feed many branches and are kept (memory, then disk; a lost
+    part is computed again from its lineage).
+    """
     profile, listener = profile or Profile(), listener or Listener()
     judged = triage.triage(blocks if cleaned else clean.clean(blocks))
     if "section" not in judged.columns:
@@ -33,10 +37,10 @@ def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener
     kept = triage.retained(judged).filter("role <> 'title'")
     heads = judged.filter("kind = 'heading'").select("doc_id", F.col("ord").alias("section"), F.col("text").alias("section_title"))
     titles = judged.filter("role = 'title'").groupBy("doc_id").agg(F.min_by("text", "ord").alias("title"))
-    sentences = clean.split_sentences(kept.filter("kind <> 'heading'"))
+    sentences = clean.split_sentences(kept.filter("kind <> 'heading'")).persist()
     placed = sentences.join(kept.select("doc_id", "ord", "section"), ["doc_id", "ord"]).join(heads, ["doc_id", "section"], "left").join(titles, "doc_id", "left")
-    found = concepts.candidates(sentences)
-    mentions = concepts.mentions(sentences, found)
+    found = concepts.candidates(sentences).persist()
+    mentions = concepts.mentions(sentences, found).persist()
     scored = concepts.score(concepts.raw_signals(sentences, found, mentions), listener).join(found.select("doc_id", "concept_id", "short_def", "first_ord"), ["doc_id", "concept_id"])
     scored = concepts.ranked(scored, 60).drop("rank")
     here = mentions.join(scored.select("doc_id", "concept_id"), ["doc_id", "concept_id"]).groupBy("doc_id", "ord", "sent_ix").agg(F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
@@ -44,4 +48,5 @@ def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener
         "doc_id", "title", F.concat(F.lit("s_"), F.coalesce(F.col("section").cast("string"), F.lit("0"))).alias("section_id"), F.coalesce("section_title", F.lit("the text")).alias("section_title"), "ord", "sent_ix", "char_start", "char_end", "text", F.coalesce("concept_ids", F.array().cast("array<string>")).alias("concept_ids")
     )
     ranked = concepts.distinct_supports(concepts.supports(sentences, mentions)).join(sentences.select("doc_id", "ord", "sent_ix", "char_start", "char_end"), ["doc_id", "ord", "sent_ix"])
-    return Build(judged, rows, scored, ranked, planner.plan_beats(rows, scored, ranked, profile, listener.lexicon), planner.plan_cards(rows, scored, ranked, profile, listener.lexicon))
+    plans = planner.plan_rows(rows, scored, ranked, profile, listener.lexicon).persist()
+    return Build(judged, rows, scored, ranked, planner.beats_of(plans), planner.cards_of(plans))

@@ -90,6 +90,7 @@ class Plan:
         self.met: set[str] = set()
         self.announced: set[str] = set()
         self.salts: dict[tuple[str, str], int] = {}
+        self.spoken: dict[str, str] = {}
         self.cards: list[Card] = []
         self.sections: list[tuple[str, str, list[list[Beat]]]] = []
         self._lay_out(sentences)
@@ -97,7 +98,9 @@ class Plan:
     # -- beats
 
     def say(self, text: str) -> str:
-        return closed(speak(text, self.p.numeric_fidelity, self.p.significant_figures, self.p.citations, self.lexicon))
+        if text not in self.spoken:
+            self.spoken[text] = closed(speak(text, self.p.numeric_fidelity, self.p.significant_figures, self.p.citations, self.lexicon))
+        return self.spoken[text]
 
     def beat(self, kind: str, text: str, spoken: bool = False, **more: object) -> Beat:
         said = closed(text) if spoken else self.say(text)
@@ -344,7 +347,18 @@ class Plan:
         return out
 
 
-def _plans(sentences: DataFrame, concepts: DataFrame, supports: DataFrame, profile: Profile, lexicon: dict[str, str] | None, cards: bool) -> DataFrame:
+BEAT_NAMES = [f.split(" ")[0] for f in re.split(r", (?=[a-z_]+ [a-z])", PLAN_BEATS)]
+CARD_NAMES = [f.split(" ")[0] for f in re.split(r", (?=[a-z_]+ [a-z])", PLAN_CARDS)]
+
+
+def plan_rows(sentences: DataFrame, concepts: DataFrame, supports: DataFrame, profile: Profile | None = None, lexicon: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, beats, cards): the plan of every document, laid out once.
+
+    ``sentences``: doc_id, title, section_id, section_title, ord, sent_ix, char_start, char_end, text, concept_ids.
+    ``concepts``: doc_id, concept_id, canonical, short_def, difficulty, importance, budget, first_ord.
+    ``supports``: doc_id, concept_id, rank, ord, sent_ix, char_start, char_end, text, definitional, causal.
+    """
+    profile = profile or Profile()
     s = sentences.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in sentences.columns if c not in ("doc_id", "title")])).alias("sentences"), F.first("title", ignorenulls=True).alias("title"))
     c = concepts.groupBy("doc_id").agg(F.collect_list(F.struct(*[x for x in concepts.columns if x not in ("doc_id", "signals")])).alias("concepts"))
     u = supports.groupBy("doc_id").agg(F.collect_list(F.struct(*[x for x in supports.columns if x != "doc_id"])).alias("supports"))
@@ -352,31 +366,23 @@ def _plans(sentences: DataFrame, concepts: DataFrame, supports: DataFrame, profi
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            out: list[tuple] = []
+            out = []
             for r in batch.itertuples():
                 listed = lambda v: [] if v is None else [dict(x) for x in v]
                 plan = Plan(profile, r.title or "", listed(r.sentences), listed(r.concepts), listed(r.supports), lexicon)
-                if cards:
-                    out += [(r.doc_id, k.id, k.concept, k.subject, k.prompt, k.answer, k.kind, k.difficulty, k.section) for k in plan.cards]
-                else:
-                    out += plan.rows(r.doc_id)
-            names = [f.split(" ")[0] for f in re.split(r", (?=[a-z_]+ [a-z])", PLAN_CARDS if cards else PLAN_BEATS)]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame if cards else frame.astype({"segment_ix": "Int32"})
-
-    return joined.mapInPandas(run, PLAN_CARDS if cards else PLAN_BEATS)
+                beats = [dict(zip(BEAT_NAMES, row, strict=True)) for row in plan.rows(r.doc_id)]
+                cards = [dict(zip(CARD_NAMES, (r.doc_id, k.id, k.concept, k.subject, k.prompt, k.answer, k.kind, k.difficulty, k.section), strict=True)) for k in plan.cards]
+                out.append((r.doc_id, beats, cards))
+            yield pd.DataFrame(out, columns=["doc_id", "beats", "cards"])
 
+    inner = lambda ddl: ", ".join(f"{name}:{kind}" for name, kind in (f.split(" ", 1) for f in re.split(r", (?=[a-z_]+ [a-z])", ddl)))
+    return joined.mapInPandas(run, f"doc_id bigint, beats array<struct<{inner(PLAN_BEATS)}>>, cards array<struct<{inner(PLAN_CARDS)}>>")
 
-def plan_beats(sentences: DataFrame, concepts: DataFrame, supports: DataFrame, profile: Profile | None = None, lexicon: dict[str, str] | None = None) -> DataFrame:
-    """Beats of every document, ``cut`` marking those over the budget.
 
-    ``sentences``: doc_id, title, section_id, section_title, ord, sent_ix, char_start, char_end, text, concept_ids.
-    ``concepts``: doc_id, concept_id, canonical, short_def, difficulty, importance, budget, first_ord.
-    ``supports``: doc_id, concept_id, rank, ord, sent_ix, char_start, char_end, text, definitional, causal.
-    """
-    return _plans(sentences, concepts, supports, profile or Profile(), lexicon, False)
+def beats_of(plans: DataFrame) -> DataFrame:
+    """Beats of every document, ``cut`` marking those over the budget."""
+    return plans.select(F.explode("beats").alias("x")).select("x.*")
 
 
-def plan_cards(sentences: DataFrame, concepts: DataFrame, supports: DataFrame, profile: Profile | None = None, lexicon: dict[str, str] | None = None) -> DataFrame:
-    """Cards of the same plans."""
-    return _plans(sentences, concepts, supports, profile or Profile(), lexicon, True)
+def cards_of(plans: DataFrame) -> DataFrame:
+    return plans.select(F.explode("cards").alias("x")).select("x.*")
