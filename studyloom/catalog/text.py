@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from studyloom.catalog import sql as q
 from studyloom.functions import spoken, text
 from studyloom.operators import clean, grounding, lint_text, triage
-from studyloom.session import table
+from studyloom.session import spread, table
 from studyloom.schema import block_id
 from studyloom.sources import adapters, layout
 
@@ -27,7 +27,7 @@ def query(oracle: str | None = None):  # noqa: ANN201
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return clean.line_blocks(table(spark, d, "documents"))
+    return clean.line_blocks(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
