@@ -6,12 +6,14 @@ input; L follows from k so that a pair right at the threshold shares a key with
 ``RECALL``, and closer pairs do far more often.
 
 Hot groups are thinned before any shuffle.  A task clusters the vectors of one batch that share a key
-around leaders, with exact cosines, and only leaders travel; a group of copies, however large, sends
-one leader per batch and table.  Leaders that meet are paired (all pairs in ordinary buckets, pairs
-with the first in large ones, whose remaining distinct components are then paired), verified exactly,
-and joined with the batch links into connected components.  Inside a component every pair of vectors
-is compared, in blocks as matrix products, so ``n_links`` counts all links of its members and no
-list of pairs is ever built.
+around leaders, with exact cosines; equal vectors stay with their leader, so a group of copies, however
+large, sends one row per batch and table.  Leaders that meet are paired (all pairs in ordinary buckets,
+pairs with the first in large ones), verified exactly, and joined with the batch links into connected
+components.  In every key that this does not settle (it has members besides leaders, or is large) all
+vectors of different components are then compared, in large keys as matrix products in blocks, so a
+pair that shares a key is either verified or inside one component.  Inside a component every pair of
+vectors is compared the same way, so ``n_links`` counts all links of its members and no list of pairs
+of a large group is ever built.
 
 Defined cases: a null, empty or zero vector, or one with a null or non-finite component, links with
 nothing; vectors of different length never link; rows that share an id are one vector (the smallest
@@ -73,16 +75,17 @@ def keys_of(units: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.n
     return out
 
 
-def lead(ids: np.ndarray, units: np.ndarray, threshold: float) -> tuple[list[int], list[tuple[int, int]]]:
-    """Leaders among vectors that share a key, and the verified (leader, member) links."""
-    left, leaders, links = np.arange(len(ids)), [], []
+def lead(ids: np.ndarray, units: np.ndarray, threshold: float) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """Leaders among vectors that share a key, members that differ from their leader, and the verified (leader, member) links."""
+    left, leaders, members, links = np.arange(len(ids)), [], [], []
     while len(left):
         head, rest = left[0], left[1:]
         leaders.append(int(head))
         close = units[rest] @ units[head] >= threshold
         links += [(int(ids[head]), int(i)) for i in ids[rest[close]]]
+        members += rest[close][(units[rest[close]] != units[head]).any(axis=1)].tolist()
         left = rest[~close]
-    return leaders, links
+    return leaders, members, links
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -115,35 +118,79 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
                     column = keys[order, t]
                     starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
                     ends = np.r_[starts[1:], len(column)]
-                    travels = np.ones(len(order), bool)
+                    travels, leads = np.ones(len(order), bool), np.ones(len(order), bool)
                     for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
                         group = order[s:e]
-                        leaders, found = lead(own[group], units[group], threshold)
+                        leaders, members, found = lead(own[group], units[group], threshold)
                         links.update(found)
-                        travels[s:e] = False
-                        travels[s + np.array(leaders)] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(column[travels]), pa.array(own[order][travels])], names=["key", "id"])
+                        travels[s:e] = leads[s:e] = False
+                        travels[s + np.array(leaders + members)] = True
+                        leads[s + np.array(leaders)] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(column[travels]), pa.array(own[order][travels]), pa.nulls(int(travels.sum()), pa.int64()), pa.array(leads[travels])], names=["key", "id", "b", "leads"])
                 if links:
                     pairs = np.array(sorted(links), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0])], names=["key", "id"]).append_column("b", pa.array(pairs[:, 1]))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.bool_())], names=["key", "id", "b", "leads"])
 
-    def with_b(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in hash_batch(batches):
-            yield batch if batch.num_columns == 3 else batch.append_column("b", pa.nulls(batch.num_rows, pa.int64()))
-
-    hashed = materialize(vectors.mapInArrow(with_b, "key bigint, id bigint, b bigint"))
+    hashed = materialize(vectors.mapInArrow(hash_batch, "key bigint, id bigint, b bigint, leads boolean"))
     local = hashed.filter("key IS NULL").select(F.col("id").alias("a"), "b")
-    buckets = materialize(hashed.filter("key IS NOT NULL").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1"))
+    buckets = materialize(hashed.filter("leads").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1"))
     everyone = F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))"))
     first = F.explode(F.expr("transform(slice(ids, 2, size(ids)), y -> struct(ids[0] AS a, y AS b))"))
     small, large = buckets.filter(F.size("ids") <= BUCKET_ALL), buckets.filter(F.size("ids") > BUCKET_ALL)
     pairs = small.select(everyone.alias("p")).unionByName(large.select(first.alias("p"))).select("p.*").distinct()
     links = materialize(local.unionByName(verify(pairs, vectors, threshold)).distinct())
-    if large.isEmpty():
-        return links
-    members = large.select("key", F.explode("ids").alias("id")).join(connected_components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rest = members.groupBy("key", "component").agg(F.min("id").alias("id")).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1")
-    return links.unionByName(verify(rest.select(everyone.alias("p")).select("p.*").distinct(), vectors, threshold)).distinct()
+    return links.unionByName(cross_links(hashed.filter("key IS NOT NULL").select("key", "id", "leads"), links, vectors, threshold)).distinct()
+
+
+def cross_links(rows: DataFrame, links: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between the components of ``links`` that share a key, at least one where two components have any."""
+    unsettled = materialize(rows.groupBy("key").agg(F.count("*").alias("size"), F.count_if("leads").alias("n")).filter((F.col("size") > F.col("n")) | (F.col("n") > BUCKET_ALL)).select("key", "size"))
+    total = unsettled.agg(F.sum("size")).first()[0]
+    if not total:
+        return links.limit(0)
+    held = join_hot(rows.select("key", "id"), unsettled, ["key"], "size", total).select("key", "id")
+    held = materialize(held.join(connected_components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    groups = held.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key", "size")
+    held = materialize(join_hot(held, groups, ["key"], "size", total))
+    other = "transform(filter(slice(ids, i + 2, size(ids)), y -> y.component <> x.component), y -> struct(x.id AS a, y.id AS b))"
+    few = held.filter(F.col("size") <= BUCKET_ALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "component"))).alias("ids"))
+    few = few.select(F.explode(F.expr(f"flatten(transform(ids, (x, i) -> {other}))")).alias("p")).select("p.*").distinct()
+    return verify(few, vectors, threshold).unionByName(block_links(held.filter(F.col("size") > BUCKET_ALL), vectors, threshold))
+
+
+def block_links(held: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links that join the components of every key in ``held`` (key, id, component, size), compared in blocks."""
+    placed = held.withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(vectors, "id")
+    dealt = placed.select("key", "id", "v", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "v", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        component, places = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        found = []
+        if len(component) > 1:
+            vectors = group.column("v").to_pylist()
+            near = np.zeros((len(component), len(component)), bool)
+            for dim in {len(v) for v in vectors}:
+                mine = np.array([k for k, v in enumerate(vectors) if len(v) == dim])
+                units = unit_vectors([vectors[k] for k in mine])
+                i, j = np.nonzero(units @ units.T >= threshold)
+                near[places[mine[i]], places[mine[j]]] = True
+            left = np.ones(len(component), bool)
+            while left.any():  # one tree of links per set of components that meet
+                head = int(np.argmax(left))
+                left[head] = False
+                queue = [head]
+                while queue:
+                    more = np.flatnonzero(near[queue.pop()] & left)
+                    left[more] = False
+                    queue += more.tolist()
+                    found += [(int(component[head]), int(component[k])) for k in more]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("key", "p", "q").applyInArrow(link, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:

@@ -391,6 +391,24 @@ def test_embedding_classes_and_links(spark, monkeypatch):
     assert embed_dedup.dedup_report(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_embedding_rim_of_a_group_meets_its_members(spark, monkeypatch, bucket):
+    """Rim vectors are close to one outer member of a large group only, and far from the one that leads it."""
+    monkeypatch.setattr(embed_dedup, "BUCKET_ALL", bucket)
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(embed_dedup, "keys_of", lambda units, bits, tables: np.zeros((len(units), 1), np.int64))
+    monkeypatch.setattr(embed_dedup, "table_shape", lambda *_: (6, 1))
+    eye = np.eye(40)
+    turn = lambda angle, axis: [float(x) for x in np.cos(angle) * eye[0] + np.sin(angle) * eye[axis]]
+    rows = [(0, turn(0, 1))] + [(k, turn(0.4, k)) for k in range(1, 31)] + [(100 + k, turn(0.8, k)) for k in range(1, 31)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    by = {r.vec_id: r for r in embed_dedup.dedup_report(frame).collect()}
+    unit = {i: np.array(v) for i, v in rows}
+    links = [(a, b) for a, b in combinations(unit, 2) if unit[a] @ unit[b] >= 0.9]
+    assert {r.component_id for r in by.values()} == {0}
+    assert {i: by[i].n_links for i in unit} == {i: sum(i in p for p in links) for i in unit}
+
+
 def test_table_shape_reaches_its_recall():
     for rows in (10, 1000, 10**6, 10**9):
         bits, tables = embed_dedup.table_shape(rows)
