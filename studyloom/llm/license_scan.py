@@ -1,7 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is one line of a text; its set holds the distinct words (ASCII letters folded).  A block
-meets a template when it contains at least ``threshold`` of the template's distinct words.  The
+meets a template when it contains at least ``threshold`` of the template's distinct words.  Notices
+wrapped over several lines are blocks too: neighbouring lines in which a run of at most ``RUN`` times the
+template's words contains that share, unless one of the lines meets the template by itself; of runs
+that overlap the one with the most words counts, numbered by its first line.  The
 template tokens are put in one global order, rarest in the corpus first, and three exact filters
 run before a pair is verified:
 
@@ -59,6 +62,8 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.92
+#: Words in a run over several lines, as a multiple of the template's.
+RUN = 1.5
 
 MATCH = "array<struct<block:int,label:string,overlap:int,size:int,containment:double,text:string>>"
 PLACES = "array<struct<label:string,first:bigint,last:bigint>>"
@@ -104,6 +109,7 @@ class TemplateIndex:
             for i, token in enumerate(tokens[: len(tokens) - self.need[k] + 1]):
                 self.index.setdefault(token, []).append((k, i))
         self.prefix_tokens = frozenset(self.index)
+        self.run = [math.ceil(RUN * len(words_of(text.encode()))) for _, text in templates]
 
     def match(self, words: list[bytes]) -> list[tuple[int, int]]:
         """(template, overlap) of every template that the block's words contain to the threshold."""
@@ -126,6 +132,37 @@ class TemplateIndex:
         return out
 
 
+    def match_lines(self, lines: list[list[bytes]], alone: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(template, overlap, first line, last line) of templates met by runs over several lines; ``alone`` has (template, line) of lines that do by themselves."""
+        words = [w for line in lines for w in line]
+        held, out, of_line = frozenset(words), [], None
+        for k in sorted({k for t in self.prefix_tokens & held for k, _ in self.index[t]}):
+            need, wanted = self.need[k], self.sets[k][1]
+            if len(held & wanted) < need:
+                continue
+            of_line = of_line or [n for n, line in enumerate(lines) for _ in line]
+            spots, inside, left, best = [i for i, w in enumerate(words) if w in wanted], Counter(), 0, None
+            for i in spots:
+                inside[words[i]] += 1
+                while i - spots[left] >= self.run[k] or inside[words[spots[left]]] > 1:
+                    inside[words[spots[left]]] -= 1
+                    if not inside[words[spots[left]]]:
+                        del inside[words[spots[left]]]
+                    left += 1
+                start, first, last = spots[left], of_line[spots[left]], of_line[i]
+                if len(inside) < need or first == last or any((k, n) in alone for n in range(first, last + 1)):
+                    continue
+                if best and start <= best[1]:  # overlaps the last run found
+                    best = max(best, (len(inside), i, start, first, last), key=lambda b: (b[0], b[2] - b[1]))
+                    continue
+                if best:
+                    out.append((k, best[0], best[3], best[4]))
+                best = (len(inside), i, start, first, last)
+            if best:
+                out.append((k, best[0], best[3], best[4]))
+        return out
+
+
 def phrase_places(words: list[bytes], phrases: list[tuple[tuple[bytes, ...], str]]) -> list[tuple[str, int, int]]:
     out = []
     for phrase, label in phrases:
@@ -158,10 +195,13 @@ def scan_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 places.append([{"label": a, "first": b, "last": c} for a, b, c in phrase_places(words, phrases)])
                 found = []
                 if not index.prefix_tokens.isdisjoint(words):
-                    for number, line in enumerate((text or b"").split(b"\n")):
-                        for k, overlap in index.match(words_of(line)):
-                            size = len(index.ordered[k])
-                            found.append({"block": number, "label": index.sets[k][0], "overlap": overlap, "size": size, "containment": overlap / size, "text": line.decode("utf-8", "replace")})
+                    lines = (text or b"").split(b"\n")
+                    split = [words_of(line) for line in lines]
+                    met = [(k, overlap, number, number) for number, line in enumerate(split) for k, overlap in index.match(line)]
+                    met += index.match_lines(split, {(k, number) for k, _, number, _ in met}) if len(lines) > 1 else []
+                    for k, overlap, first, last in met:
+                        size = len(index.ordered[k])
+                        found.append({"block": first, "label": index.sets[k][0], "overlap": overlap, "size": size, "containment": overlap / size, "text": b"\n".join(lines[first : last + 1]).decode("utf-8", "replace")})
                 matches.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(places, place_type), pa.array(matches, match_type)], names=["id", "n_words", "places", "matches"])
 
@@ -190,7 +230,7 @@ def license_report(df: DataFrame, **options) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB: the same join by brute force over every (line, template) pair."""
+    """DuckDB: the same join by brute force over every (line, template) pair; runs over several lines are beyond it."""
     fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = ", ".join(f"({[w.decode() for w in words_of(p.encode())]}, '{label}')" for p, label in BASE_PHRASES.items())

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 from itertools import combinations
 
 import numpy as np
@@ -70,6 +71,30 @@ def test_template_filters_lose_no_match():
         assert set(index.match(block)) == brute
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice appears in all copies.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_license_scan_reads_wrapped_notices(spark, mark):
+    texts = []
+    for width in (40, 60, 75):
+        for label, notice in WRAPPED.items():
+            body = "\n".join(mark + line for line in textwrap.wrap(notice, width))
+            texts.append((len(texts), f"Some file.\n{body}\nThe code follows.", label))
+    apart = "released some words\n" + "plain words of prose stand here\n" * 3 + "under the\n" + "more of it\n" * 3 + "bsd and its license"
+    rows = {r.doc_id: r for r in license_scan.license_report(docs(spark, [(i, t) for i, t, _ in texts] + [(900, apart)])).collect()}
+    assert [(i, label) for i, _, label in texts if label not in rows[i].labels.split(",")] == []
+    assert all(rows[i].n_blocks >= 1 and rows[i].score >= license_scan.THRESHOLD for i, _, _ in texts) and rows[900].labels == ""
+
+
 def test_license_scan_takes_odd_rows(spark):
     rows = license_scan.license_report(docs(spark, ODD)).collect()
     assert len(rows) == len(ODD) and {r.n_words for r in rows if r.doc_id in (1, 2, 3)} == {0}
