@@ -2,7 +2,9 @@
 
 Texts become sequences of canonical tokens: numbers, units after a number and names (capitalised
 words inside a sentence; neighbouring ones are one name) are typed placeholders, every other word is
-itself in lower case.  Windows of ``WINDOW`` canonical tokens are hashed, and the windows of all texts
+itself in lower case.  A capitalised word that begins a sentence, line or quote may be a name or not, so
+texts and items have a second form in which every capitalised word is a name; each form is matched by
+itself, and a pair found in both is reported by the first.  Windows of ``WINDOW`` canonical tokens are hashed, and the windows of all texts
 are hash-joined with those of the benchmark.  What matches is aligned by offset; within an alignment
 the values that fill the placeholders must be consistent: each value of the item always stands for
 the same value in the text.  Identical values make an exact copy, other consistent ones a
@@ -22,6 +24,8 @@ items count once each; empty tables give an empty result; other columns are igno
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +43,21 @@ NAME, GLUE, UNIT = "\x01", "\x02", "\x03"
 NUMBER_HASH, UNIT_HASH, NAME_HASH = -1, -2, -3
 
 
-def marked(text: Column) -> Column:
+#: What stands before a name, by form: inside a sentence, or anywhere.
+BEFORE_NAME = (r"(?<=[\p{L}\p{N},;][ ]{1,2})", r"(?<![\p{L}\p{N}])")
+
+
+def marked(text: Column, form: int = 0) -> Column:
     """Lower-cased text in which names and units carry marks; decimal numbers and full names are one token."""
     text = F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME + GLUE + UNIT, "   ")
     text = F.regexp_replace(text, r"[.,](?<=\d[.,])(?=\d)", GLUE)
-    text = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{L}\p{N},;][ ]{1,2})", NAME)
+    text = F.regexp_replace(text, r"(?=\p{Lu})" + BEFORE_NAME[form], NAME)
     text = F.lower(F.regexp_replace(text, f" (?={NAME})(?<={NAME}" + r"[\p{L}]{1,40} )", GLUE))
     return F.regexp_replace(text, r"(?<=\d)\s?(?=(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}]))", " " + UNIT)
 
 
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(marked(text), f"[^\\p{{L}}\\p{{N}}{NAME}{GLUE}{UNIT}]+"), "")
+def tokens(text: Column, form: int = 0) -> Column:
+    return F.array_remove(F.split(marked(text, form), f"[^\\p{{L}}\\p{{N}}{NAME}{GLUE}{UNIT}]+"), "")
 
 
 def canonical(words: Column) -> Column:
@@ -74,9 +82,9 @@ def slots(size: int) -> Column:
     return F.filter(span, lambda w, k: F.get(F.col("h"), F.col("at") + k).between(-3, -1))
 
 
-def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def item_windows(benchmark: DataFrame, id_col: str, text_col: str, form: int = 0) -> DataFrame:
     """(item_id, size, n_windows, window, item_at, item_slots) of the windows that are evidence."""
-    words = benchmark.select(F.col(id_col).alias("item_id"), tokens(F.col(text_col)).alias("w")).withColumn("h", canonical(F.col("w")))
+    words = benchmark.select(F.col(id_col).alias("item_id"), tokens(F.col(text_col), form).alias("w")).withColumn("h", canonical(F.col("w")))
     words = words.filter(F.size("h") >= MIN_TOKENS).dropDuplicates(["item_id", "w"]).withColumn("size", F.least(F.size("h"), F.lit(WINDOW)))
     out = None
     for size in range(MIN_TOKENS, WINDOW + 1):
@@ -91,23 +99,27 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id, item_id, n_windows, item_windows, coverage, n_slots, kind) of every contaminated (text, item) pair."""
-    items = materialize(item_windows(benchmark, item_col, item_text_col))
-    sizes = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most WINDOW sizes
-    words = df.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("w")).withColumn("h", canonical(F.col("w")))
+    forms = [item_windows(benchmark, item_col, item_text_col, form).withColumn("form", F.lit(form)) for form in range(len(BEFORE_NAME))]
+    items = materialize(reduce(DataFrame.unionByName, forms))
+    sizes = {(r["form"], r["size"]): r["n"] for r in items.groupBy("form", "size").agg(F.count("*").alias("n")).collect()}  # at most WINDOW sizes a form
     hits = None
-    for size in sorted(sizes) or [WINDOW]:
-        side = items.filter(F.col("size") == size).drop("size")
+    for form, size in sorted(sizes) or [(0, WINDOW)]:
+        words = df.select(F.col(id_col).alias("doc"), tokens(F.col(text_col), form).alias("w")).withColumn("h", canonical(F.col("w")))
+        side = items.filter((F.col("form") == form) & (F.col("size") == size)).drop("size")
         side = F.broadcast(side) if sum(sizes.values()) <= BROADCAST_ROWS else side
         found = windows(words, ["doc"], size).join(side, "window")
-        found = found.select("doc", "item_id", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), F.arrays_zip(F.col("item_slots").alias("item"), slots(size).alias("text")).alias("pairs"))
+        found = found.select("doc", "item_id", "form", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), F.arrays_zip(F.col("item_slots").alias("item"), slots(size).alias("text")).alias("pairs"))
         hits = found if hits is None else hits.unionByName(found)
     pairs = F.array_distinct(F.flatten("pairs"))
-    aligned = hits.groupBy("doc", "item_id", "n_windows", "offset").agg(F.collect_set("item_at").alias("ats"), F.flatten(F.collect_set("pairs")).alias("pairs")).withColumn("pairs", F.array_distinct("pairs"))
+    aligned = hits.groupBy("doc", "item_id", "form", "n_windows", "offset").agg(F.collect_set("item_at").alias("ats"), F.flatten(F.collect_set("pairs")).alias("pairs")).withColumn("pairs", F.array_distinct("pairs"))
     aligned = aligned.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs"))
-    whole = aligned.groupBy("doc", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("found"), F.collect_set("pairs").alias("pairs"))
+    whole = aligned.groupBy("doc", "item_id", "form", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("found"), F.collect_set("pairs").alias("pairs"))
     same = F.forall(pairs, lambda p: p["item"] == p["text"])
     return (
         whole.withColumn("coverage", F.col("found") / F.col("n_windows"))
         .filter(F.col("coverage") >= coverage)
+        .groupBy("doc", "item_id")
+        .agg(F.min_by(F.struct("found", "n_windows", "coverage", "pairs"), "form").alias("best"))
+        .select("doc", "item_id", "best.*")
         .select(F.col("doc").alias(id_col), "item_id", F.col("found").alias("n_windows"), F.col("n_windows").cast("long").alias("item_windows"), "coverage", F.size(pairs).cast("long").alias("n_slots"), F.when(same, "exact").otherwise("reparameterised").alias("kind"))
     )

@@ -201,6 +201,17 @@ def test_decontamination_asks_for_consistent_slots(spark):
     assert [(r.doc_id, r.kind) for r in got] == [(1, "reparameterised")]
 
 
+def test_decontamination_finds_other_names_at_the_start_of_sentences(spark):
+    item = "Ann has 5 apples. Ben has 3 pears. Ann buys 4 more apples.\nBen eats 2 of the pears. \"Ann Lee, how many do we hold now?\" asks Ben. Ann counts them all."
+    short = "Ann sells 7 red boats every day"
+    other = item.replace("Ann", "Zoe").replace("Ben", "Tom").replace("5", "11").replace("3", "8")
+    items = spark.createDataFrame([(1, item), (2, short)], "item_id bigint, text string")
+    names = iter("Zoe Tom Kim Max Joe Amy Sue Roy Liz Ned".split())
+    texts = [(1, other), (2, f"Some words. {other}"), (3, short.replace("Ann", "Bob").replace("7", "9")), (4, item), (5, re.sub("Ann|Ben", lambda m: next(names), item)), (6, f"He said: {short.lower()}")]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.matches(docs(spark, texts), items).collect()}
+    assert got == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 2): "reparameterised", (4, 1): "exact", (6, 2): "exact"}
+
+
 # ---------------------------------------------------------------- 4 WARC
 
 
