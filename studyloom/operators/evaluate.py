@@ -82,6 +82,8 @@ def changes(first: DataFrame, second: DataFrame, key: str = "document") -> DataF
 
 # ---------------------------------------------------------------- model cost
 
+#: Calls in one task of a ledger, and most pieces of a run (larger pieces beyond).
+LEDGER_ROWS, LEDGER_PIECES = 100_000, 1000
 CHARS_PER_TOKEN, CACHED_SHARE, BATCH_SHARE, IMAGE_TOKENS = 3.6, 0.1, 0.5, 500
 
 
@@ -107,10 +109,20 @@ def estimate_cost(requests: DataFrame, input_price: float, output_price: float,
 
 
 def ledger(responses: DataFrame, input_price: float, output_price: float, cap: float | None = None) -> DataFrame:
-    """``responses`` (call_no, input_tokens, cached_tokens, output_tokens) with ``spent`` so far and whether the cap allowed the call."""
+    """``responses`` (call_no, input_tokens, cached_tokens, output_tokens) with ``spent`` so far and whether the cap allowed the call.
+
+    The run is cut into pieces by ranges of call_no; each sums by itself, from what all earlier pieces spent.
+    """
     fresh = F.greatest(F.lit(0), F.col("input_tokens") - F.col("cached_tokens"))
     cost = (fresh * input_price + F.col("cached_tokens") * input_price * CACHED_SHARE + F.col("output_tokens") * output_price) / 1e6
-    out = responses.withColumn("cost", cost).withColumn("spent", F.sum("cost").over(Window.orderBy("call_no").rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = min(LEDGER_PIECES, -(-responses.count() // LEDGER_ROWS))
+    bounds = responses.agg(F.percentile_approx("call_no", [k / pieces for k in range(1, pieces)])).first()[0] if pieces > 1 else None
+    piece = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col("call_no"))) if bounds else F.lit(0)
+    priced = responses.withColumn("cost", cost).withColumn("_piece", F.when(F.col("call_no").isNull(), 0).otherwise(piece))
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # at most LEDGER_PIECES rows
+    before = priced.groupBy("_piece").agg(F.sum("cost").alias("_cost")).select("_piece", F.coalesce(F.sum("_cost").over(earlier), F.lit(0.0)).alias("_before"))
+    own = F.sum("cost").over(Window.partitionBy("_piece").orderBy("call_no").rowsBetween(Window.unboundedPreceding, 0))
+    out = priced.withColumn("_own", own).join(F.broadcast(before), "_piece").withColumn("spent", F.col("_before") + F.col("_own")).drop("_piece", "_own", "_before")
     return out.withColumn("allowed", F.lit(True) if cap is None else F.col("spent") <= cap)
 
 

@@ -198,3 +198,20 @@ def test_the_stream_ends_where_the_batch_does(spark, tmp_path):
     streamed = {r.card_id: (r.reviews, r.correct, round(r.interval_days, 6)) for r in spark.table("states").orderBy("reviews").collect()}
     batch = {r.card_id: (r.reviews, r.correct, round(r.interval_days, 6)) for r in exposure.card_state(artefacts.read_review_log(spark, f"{tmp_path}/log")).collect()}
     assert streamed == batch
+
+
+def test_a_ledger_sums_by_pieces_of_the_run(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "LEDGER_ROWS", 50, raising=False)
+    rows = [(k * k % 1009 * 3 + k * 5000, k % 700, k % 90, k % 40) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "call_no bigint, input_tokens bigint, cached_tokens bigint, output_tokens bigint")
+    out = evaluate.ledger(frame, 3.0, 15.0, cap=0.5)
+    spent, want = 0.0, {}
+    for n, i, c, o in sorted(rows):
+        spent += (max(0, i - c) * 3.0 + c * 0.3 + o * 15.0) / 1e6
+        want[n] = spent
+    got = {r.call_no: r for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[n].spent - want[n]) < 1e-9 and got[n].allowed == (got[n].spent <= 0.5) for n in want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    pieces = out.select("spent", F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("spent").alias("n"), F.max("spent")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.columns == [*frame.columns, "cost", "spent", "allowed"] and max(r["n"] for r in pieces) < len(rows)
