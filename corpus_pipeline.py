@@ -23,10 +23,15 @@ LEAST_LANGUAGE_SCORE = 0.4
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without those whose doc_id is in ``ids`` (a materialized table)."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every row in ``row``; ids may be null or repeated.  Written down, so that it stays the same."""
+    return materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without those whose row is in ``rows`` (a materialized table)."""
+    few = rows.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(rows) if few else rows, "row", "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,16 +47,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; texts without words are no one's duplicates."""
-    classes = ngram_join.near_duplicates(docs)
-    others = materialize(classes.filter("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct())
+    """Keeps one row of each class, with the smallest id; texts without words and rows with a null id are no one's duplicates."""
+    docs = keyed(docs)
+    classes = materialize(ngram_join.near_duplicates(docs.filter("doc_id IS NOT NULL"), id_col="row").select("row", "component_id"))
+    first = classes.join(docs.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    others = materialize(classes.join(first.select("first.row"), "row", "left_anti").select("row"))
     return without(docs, others).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that hold no benchmark item, as it is or re-parameterised."""
-    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, materialize(found.select(F.col("doc_id").alias("id")).distinct())).select(*COLUMNS)
+    docs = keyed(docs)
+    items = materialize(table(spark, sf_dir, "benchmark").select("text").withColumn("item_id", F.monotonically_increasing_id()))
+    found = decontam.matches(docs, items, id_col="row")
+    return without(docs, materialize(found.select("row").distinct())).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -488,6 +488,19 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
         assert got[r.doc_id].n_tokens == len(library(r.text)) and got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_pipeline_decides_by_row_for_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "the river of the quiet stone and the paper cloud is in the green table"
+    plain = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(4)]
+    rows = [(None, f"{item} and more"), (None, plain[0]), (1, plain[1]), (1, plain[1]), (2, plain[2]), (2, f"so {item}"), (3, plain[1]), (4, plain[3])]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(None, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert got(corpus_pipeline.drop_contaminated(spark, frame, str(tmp_path))) == sorted((r for r in rows if item not in r[1]), key=str)
+    assert got(corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path))) == sorted((r for k, r in enumerate(rows) if k not in (3, 6)), key=str)
+
+
 def test_pipeline_stages_take_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
