@@ -8,27 +8,35 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python: whole texts ride in these batches, so keep them small.
-ARROW_ROWS = 512
+#: Every operator asks for the same number, so no plan runs with another's setting; workers that want
+#: more rows at once gather batches themselves.
+ARROW_ROWS = 64
 
 _made: list[str] = []
+#: Folders of the workspaces that are open, innermost last.
+_open: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bound the bytes a Python worker holds at once; long texts make big rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is configured (local tests)."""
+    """A new path in the open workspace or in the shared folder of the cluster; a folder of our own only where none is configured (local tests)."""
+    if _open:
+        return f"{_open[-1]}/{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -56,6 +64,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A folder for an operator's intermediate tables, deleted at the end; the given function writes the result beside it.
+
+    ::
+
+        with workspace(spark) as finish:
+            ...
+            return finish(result)
+    """
+    home = scratch(spark)
+    result = f"{home}-result"
+
+    def finish(df: DataFrame) -> DataFrame:
+        df.write.parquet(result)
+        return spark.read.schema(df.schema).parquet(result)
+
+    _open.append(home)
+    try:
+        yield finish
+    finally:
+        _open.remove(home)
+        drop_path(spark, home)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -6,12 +6,16 @@ its inverse document frequency in the fitted sample.  The weights are trained wi
 follow-the-regularised-leader steps under an elastic-net penalty (L1 keeps them sparse); a
 temperature fitted on a part of the sample that training never saw calibrates the probabilities.
 
-Fitting reads a bounded sample: of each language at most ``SAMPLE_PER_LANG`` rows, those with the
-smallest hash of their id.  Scoring covers every row and whole texts.
+Fitting reads a bounded sample: of each of the ``MOST_LANGS`` most frequent languages at most
+``SAMPLE_PER_LANG`` ids, those with the smallest hashes, one text per id; it runs in one task, and only
+the sparse weights reach the driver.  Scoring covers every row and whole texts, a part at a time.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text when
-nothing could be learned; with one learned language every other text gets it with score 1; repeated
-rows give one row each; null ids are predicted and never learned from; other columns are ignored.
+nothing could be learned; with one learned language every other text gets it with score 1; languages
+that are equally likely go by name; of several texts with one id and language the smallest is learned, and
+texts above ``SAMPLE_CHARS`` characters are predicted whole and not learned from; repeated rows give one
+row each; null ids are predicted and never learned from; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,18 +27,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import crc_mod, release_memory, small_batches
+from studyloom.llm.common import crc_mod, release_memory, small_batches, workspace
+from studyloom.llm.sampling import bounded_sample, fit_in_task
 
 #: Bound of the labelled sample that the model is fitted on, for each language.
 SAMPLE_PER_LANG = 1000
+#: Languages that are learned, the most frequent ones first; longer texts are not learned from.
+MOST_LANGS, SAMPLE_CHARS = 200, 100_000
 #: Rows whose id's crc32 leaves this remainder are held out and never learned from.
 FOLDS, HELD_OUT = 4, 2
 BITS, ORDERS = 17, 3
 #: Characters worked on at once; n-grams that cross a cut are counted with the later part.
-PART_CHARS = 1_000_000
+PART_CHARS = 32_768
 UNDETERMINED = "und"
 VALUE_SCALE = 10.0
 
@@ -167,14 +174,20 @@ def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def sample(df: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int, most_langs: int = MOST_LANGS, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(id, label, text) of the bounded sample: at most per_lang rows of each of the most_langs most frequent languages."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (crc_mod("id", FOLDS) != HELD_OUT))
+    return bounded_sample(rows, rows.select("id", "label"), per_lang, most_langs, most_chars)
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = SAMPLE_PER_LANG, **options) -> Model:
-    keys = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (crc_mod("id", FOLDS) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = keys.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_lang).select("id", "lang").distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text").toArrow()  # per_lang rows of each language
-    rows = rows.sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    return train([t or "" for t in rows.column("text").to_pylist()], rows.column("lang").to_pylist(), **options)
+    def learn(rows: list[dict]) -> Model:
+        rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["text"]))
+        return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
+
+    with workspace(df.sparkSession):
+        return fit_in_task(sample(df, text_col, lang_col, id_col, per_lang), learn)
 
 
 def predict_languages(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

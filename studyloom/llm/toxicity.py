@@ -4,12 +4,15 @@ Features of a text are the distinct hashes of its words, its word pairs and its
 between (skip-grams).  FTRL-proximal keeps a learning rate per coordinate, and its L1 term leaves
 only a few hundred weights other than zero; these go to the tasks as two short arrays.
 
-Fitting reads a bounded sample: of each label at most ``SAMPLE_PER_LABEL`` rows, those with the
-smallest hash of their id, exact repeats of a text once.  Scoring covers every row and whole texts.
+Fitting reads a bounded sample: of each label at most ``SAMPLE_PER_LABEL`` ids, those with the
+smallest hashes, one text per id and exact repeats of a text once; it runs in one task, and only the
+sparse weights reach the driver.  Scoring covers every row and whole texts.
 
 Defined cases: null and empty texts score by the intercept alone; without any usable label every
-score is 0; of several labels of one id the largest counts; repeated rows give one row each; null ids
-are scored and never learned from; other columns are ignored.
+score is 0; a score of exactly one half predicts 1; of several labels of one id the largest counts, of
+several texts the smallest; texts above ``SAMPLE_CHARS`` characters are scored whole and not learned
+from; repeated rows give one row each; null ids are scored and never learned from; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import crc_mod, release_memory, small_batches
+from studyloom.llm.common import crc_mod, release_memory, small_batches, workspace
+from studyloom.llm.sampling import bounded_sample, fit_in_task
 
 #: Bound of the labelled sample that the model is fitted on, for each label.
 SAMPLE_PER_LABEL = 4000
+#: Longer texts are not learned from; every text is scored, whatever its length.
+SAMPLE_CHARS = 100_000
 #: Rows whose id's crc32 leaves this remainder are held out and never learned from.
 FOLDS, HELD_OUT = 5, 0
 BITS = 20
@@ -123,22 +129,25 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, **options) -> Mo
     return Model(kept, weights[kept].astype(np.float32), float(model.intercept()))
 
 
-def sample(df: DataFrame, labels: DataFrame, label_col: str, text_col: str, id_col: str, per_label: int) -> DataFrame:
-    """(text, label) of the bounded sample: at most 2 * per_label rows, so the ids may be broadcast."""
+def sample(df: DataFrame, labels: DataFrame, label_col: str, text_col: str, id_col: str, per_label: int, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(id, label, text) of the bounded sample: at most 2 * per_label rows."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (crc_mod("id", FOLDS) != HELD_OUT))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_label).select("id", "label")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(crc_mod("id", FOLDS) != HELD_OUT)
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
+    return bounded_sample(texts, known, per_label, 2, most_chars)
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", per_label: int = SAMPLE_PER_LABEL, **options) -> Model:
-    rows = sample(df, labels, label_col, text_col, id_col, per_label).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])  # at most 2 * per_label texts
-    votes: dict[str, list[int]] = {}
-    for text, label in zip(rows.column("text").to_pylist(), rows.column("label").to_pylist(), strict=True):
-        votes.setdefault(text or "", []).append(label)
-    return train(list(votes), [int(2 * sum(v) >= len(v)) for v in votes.values()], **options)
+    """The model of the sample; a text that several ids share has the label of most of them, the higher one in a tie."""
+
+    def learn(rows: list[dict]) -> Model:
+        votes: dict[str, list[int]] = {}
+        for row in sorted(rows, key=lambda r: (r["id"], r["text"])):
+            votes.setdefault(row["text"], []).append(row["label"])
+        return train(list(votes), [int(2 * sum(v) >= len(v)) for v in votes.values()], **options)
+
+    with workspace(df.sparkSession):
+        return fit_in_task(sample(df, labels, label_col, text_col, id_col, per_label), learn)
 
 
 def score_texts(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

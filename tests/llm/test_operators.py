@@ -138,6 +138,49 @@ def test_toxicity_takes_odd_rows_and_missing_labels(spark):
     assert toxicity.toxicity_report(docs(spark, []), strange).count() == 0
 
 
+def test_samples_keep_to_their_bound_whatever_repeats(spark):
+    rows = [(k % 40, f"text {k}") for k in range(4000)] + [(7, "the same text") for _ in range(2000)]
+    data = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in rows] + [(900 + k, "w", f"x{k}") for k in range(30)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k % 40, 1, k % 3 % 2) for k in range(5000)], "doc_id bigint, quality int, toxic int")
+    chosen = toxicity.sample(data, labels, "toxic", "text", "doc_id", 5).collect()
+    assert 0 < len(chosen) <= 10 and len({r.id for r in chosen}) == len(chosen)
+    chosen = langid.sample(data, "text", "lang", "doc_id", 5, most_langs=2).collect()
+    assert {r.label for r in chosen} <= {"en", "de"} and 0 < len(chosen) <= 10
+    everything = langid.sample(data, "text", "lang", "doc_id", 1000).collect()
+    import zlib
+
+    assert {(r.id, r.label) for r in everything} == {(r.doc_id, r.lang) for r in data.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+
+
+def plain_ftrl(rows, alpha=0.3, beta=1.0, l1=4.0, l2=1.0, epochs=3):
+    """FTRL-proximal written out coordinate by coordinate."""
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= l1 else -(z[k] - (l1 if z[k] > 0 else -l1)) / ((beta + n[k] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(17)
+    for _ in range(epochs):
+        for j in order.permutation(len(rows)):
+            features, y = rows[j]
+            w = {k: weight(k) for k in features}
+            b = -zb / ((beta + nb**0.5) / alpha)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - y
+            for k in features:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[k]
+                n[k] = old + g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * b
+            nb += g * g
+    return {k: weight(k) for k in z if weight(k)}, -zb / ((beta + nb**0.5) / alpha)
+
+
+def test_ftrl_weights_equal_a_plain_loop(spark):
+    data, labels = labelled(spark, 200)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    texts, marks = zip(*[(r.text, truth[r.doc_id]) for r in data.collect()], strict=True)
+    model = toxicity.train(list(texts), list(marks))
+    want, bias = plain_ftrl([({int(k) for k in toxicity.feature_slots(toxicity.word_hashes(t))}, y) for t, y in zip(texts, marks, strict=True)])
+    assert dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want, rel=1e-4, abs=1e-5) and model.intercept == pytest.approx(bias)
+
+
 LANGS = {"en": "the of and to in is was for with that", "de": "der die und zu in ist war für mit dass", "fr": "le la de et à est été pour avec que"}
 
 
@@ -355,6 +398,86 @@ def test_html_without_an_article_uses_density_and_neighbours():
     assert html_extract.main_text(page).split("\n") == [" ".join(long.split()), "Short one.", " ".join(long.split())]
 
 
+PROSE = "This is the long paragraph of the page and it has all of the words that a text in a language has to have. " * 2
+KEPT = {
+    "form around the page": f"<body><form><h1>T</h1><p>{PROSE}</p><label>Name</label><input></form></body>",
+    "teaser article beside the body": f"<body><article>Short</article><div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div></body>",
+    "math": f"<article><p>{PROSE}</p><p>so <math><mi>PROSE</mi></math> holds.</p></article>".replace("PROSE", PROSE),
+    "object": f"<article><p>{PROSE}</p><object><p>{PROSE}</p></object></article>",
+    **{mark: f"<article><h1>H</h1><p>First words. {PROSE[:80]}</p><div {mark}><p>{PROSE}</p></div></article>" for mark in ('id="discussion"', 'class="article-header"', 'id="related-work"', 'class="notice-period"', 'class="search-algorithms"', 'class="side-effects"')},
+}
+
+
+@pytest.mark.parametrize("case", KEPT)
+def test_html_keeps_article_text_whatever_wraps_it(case):
+    assert PROSE.strip() in html_extract.main_text(KEPT[case])
+
+
+def test_html_drops_named_containers_and_calls():
+    inner = "".join(f"<div class='{c}'><p>{PROSE}</p></div>" for c in ("cookie-notice", "relatedPosts", "ad", "share-buttons", "comments"))
+    page = f"<article><h1>H</h1><div>4 min read</div><p>{PROSE}</p><p>Sign up today</p><p>Ends here.</p>{inner}<div>Tags: a b c</div></article><footer>{PROSE}</footer>"
+    assert html_extract.main_text(page).split("\n") == ["H", PROSE.strip(), "Ends here."]
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text("<article>" + "<b>x " * n + "<div>" * n + "<p>" + "<i>y" * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.01)
+
+
+def walked(page):
+    """The independent labeller: the page as a tree, furniture by exact names only, everything else inside the article."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.text, self.found = [], "", []
+
+        def cut(self):
+            words = " ".join(self.text.split())
+            if words and "article" in self.path and not any(t in ("nav", "aside", "footer", "script", "style") or t.startswith(".") for t in self.path):
+                self.found.append(words)
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "a", "i"):
+                self.cut()
+            self.path.append("." if dict(attrs).get("class") in ("ad", "cookie-notice", "comments") else tag)
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i"):
+                self.cut()
+            self.path.pop()
+
+        def handle_data(self, data):
+            self.text += data
+
+    walk = Walk()
+    walk.feed(page)
+    return "\n".join(walk.found)
+
+
+def test_html_equals_a_tree_walk_on_generated_pages():
+    rng = random.Random(13)
+    words = PROSE.split()
+    say = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) + "."
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.choice(["p", "p", "p", "h2", "blockquote", "aside", "div class='ad'", "div class='cookie-notice'", "section class='comments'", "script"])
+            inner = say() if kind == "script" else rng.choice([say(), f"<b>{say()}</b> &amp; {say()}", f"{say()} <i>{say()}</i>"])
+            parts.append(f"<{kind}>{inner}</{kind.split()[0]}>" if kind in ("p", "h2", "script") else f"<{kind}><p>{inner}</p></{kind.split()[0]}>")
+        page = f"<html><body><nav><p>{say()}</p></nav><div class='ad'><p>{say()}</p></div><article>{''.join(parts)}</article><footer><p>{say()}</p></footer></body></html>"
+        assert html_extract.main_text(page) == walked(page), page
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</", "<!--", "<p>a<", "&am", "<script>x", "<div><div><p></div></p></div>", "<p>" * 3000, "<a href='x><p>text", "<p>x &quo"])
 def test_html_takes_broken_pages(page):
     assert isinstance(html_extract.main_text(page), str)
