@@ -14,10 +14,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python: whole texts ride in these batches, so keep them small.
-#: Every operator asks for the same number, so no plan runs with another's setting; workers that want
+#: Rows and bytes in one Arrow batch handed to Python: whole texts ride in these batches, so keep them small.
+#: Every operator asks for the same numbers, so no plan runs with another's setting; workers that want
 #: more rows at once gather batches themselves.
-ARROW_ROWS = 64
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 _made: list[str] = []
 #: Folders of the workspaces that are open, innermost last.
@@ -31,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes a Python worker holds at once; long texts make big rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import random
 import re
 import struct
@@ -255,6 +256,76 @@ def test_decontamination_finds_other_names_at_the_start_of_sentences(spark):
     assert got == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 2): "reparameterised", (4, 1): "exact", (6, 2): "exact"}
 
 
+def test_decontamination_asks_for_slots_that_differ_where_the_item_has_them(spark):
+    items = spark.createDataFrame([(1, "she buys 5 apples and 3 pears for the long trip"), (None, "give 4 of the boxes back to them now")], "item_id bigint, text string")
+    texts = [(1, "she buys 7 apples and 7 pears for the long trip"), (2, "she buys 7 apples and 6 pears for the long trip"), (3, "give 9 of the boxes back to them now")]
+    assert sorted((r.doc_id, r.item_id) for r in decontam.matches(docs(spark, texts), items).collect()) == [(2, 1), (3, None)]
+
+
+def test_decontamination_matches_very_short_items_as_whole_texts(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "Too short"), (2, "Add 5"), (3, "...")], "item_id bigint, text string")
+    texts = [(1, "too short."), (2, "this is too short to count"), (3, "add 5"), (4, "Add 6"), (5, None), (6, "")]
+    for few in (decontam.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", few)
+        assert sorted((r.doc_id, r.item_id, r.kind) for r in decontam.matches(docs(spark, texts), items).collect()) == [(1, 1, "exact"), (3, 2, "exact")]
+
+
+def brute_contamination(texts, items):
+    """Every (text, item) pair, every offset, with token lists made by another engine's expressions."""
+    import regex
+
+    def forms(text):
+        text = regex.sub(r"[.,](?<=\d[.,])(?=\d)", "\x02", text)
+        for before in (r"(?<=[\p{L}\p{N},;] {1,2})", r"(?<![\p{L}\p{N}])"):
+            out = regex.sub(before + r"(?=\p{Lu})", "\x01", text)
+            out = regex.sub("(?<=\x01\\p{L}{1,40}) (?=\x01)", "\x02", out).lower()
+            out = regex.sub(r"(?<=\d)\s?(?=(?:" + "|".join(decontam.UNITS) + r")(?![\p{L}\p{N}]))", " \x03", out)
+            words = [w for w in regex.split("[^\\p{L}\\p{N}\x01\x02\x03]+", out) if w]
+            yield words, [{"\x01": "NAME", "\x03": "UNIT"}.get(w[0], "NUMBER" if w[0].isdigit() and w[0].isascii() else w) for w in words]
+
+    found = {}
+    for i, item in items:
+        for d, text in texts:
+            for (iw, ih), (tw, th) in zip(forms(item), forms(text), strict=True):
+                size = min(len(ih), decontam.WINDOW)
+                spots = [(k, sum(h in ("NAME", "UNIT", "NUMBER") for h in ih[k : k + size])) for k in range(len(ih) - size + 1)]
+                most = min(decontam.MIN_LITERALS, max(size - n for _, n in spots))
+                evidence = [k for k, n in spots if size - n >= most]
+                covered, pairs = set(), set()
+                for offset in range(-len(ih), len(th)):
+                    hit = [k for k in evidence if k + offset >= 0 and th[k + offset : k + offset + size] == ih[k : k + size]]
+                    used = {(iw[j], tw[j + offset]) for k in hit for j in range(k, k + size) if ih[j] in ("NAME", "UNIT", "NUMBER")}
+                    if hit and len({a for a, _ in used}) == len(used) == len({b for _, b in used}):
+                        covered |= set(hit)
+                        pairs |= used
+                if len(covered) / len(evidence) >= decontam.COVERAGE:
+                    found[d, i] = (len(covered), len(evidence), "exact" if all(a == b for a, b in pairs) else "reparameterised")
+                    break
+    return found
+
+
+@pytest.mark.parametrize("few", [2_000_000, 0])
+def test_decontamination_equals_a_search_of_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", few)
+    rng = random.Random(21)
+    names, words = ["Ann", "Ben", "Zoe", "Tom", "Kim"], "buys sells red old boats apples near the river and town of long after every day".split()
+    fill = lambda t: re.sub("N", lambda m: rng.choice(names), re.sub("#", lambda m: str(rng.randint(2, 9)), t))
+    plans = [" ".join(rng.choice([*words, *words, "N", "# km", "#", "."]) for _ in range(rng.randint(5, 30))).replace(" .", ".") for _ in range(25)]
+    items = [(k, fill(p)) for k, p in enumerate(plans) if len(re.findall(r"\w+", p)) >= 6]
+    texts = []
+    for k in range(120):
+        body = [rng.choice(words) for _ in range(rng.randint(0, 20))]
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice([fill(rng.choice(plans)), rng.choice(items)[1]]).split()
+            if rng.random() < 0.4:
+                part[rng.randrange(len(part))] = rng.choice(words)
+            body += part + [rng.choice(words) for _ in range(4)]
+        texts.append((k, " ".join(body)))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.kind) for r in decontam.matches(docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = brute_contamination(texts, items)
+    assert got == want and {k for _, _, k in want.values()} == {"exact", "reparameterised"}
+
+
 # ---------------------------------------------------------------- 4 WARC
 
 
@@ -273,12 +344,19 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
     assert warc.archive_report(pages.limit(0), f"file://{tmp_path}/empty").count() == 0
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"{k} " + "z" * 20_000) for k in range(200)], "page_id bigint, url string, html string")
+    path = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=100_000)
+    sizes = [len(gzip.open(f).read()) for f in (tmp_path / "w").glob("part-*")]
+    assert sum(sizes) > 4_000_000 and max(sizes) < 400_000 and warc.read_archives(spark, path).count() == 200
+
+
 def test_warc_parser_reads_by_length():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 12\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\n"
-    found = list(warc.parse_records(gzip.decompress(gzip.compress(record * 3))))
+    found = list(warc.parse_records(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(record * 3)))))
     assert len(found) == 3 and found[0][1] == b"WARC/1.1\r\n\r\n"
     with pytest.raises(ValueError):
-        list(warc.parse_records(b"garbage\r\n\r\n"))
+        list(warc.parse_records(io.BytesIO(b"garbage\r\n\r\n")))
 
 
 # ---------------------------------------------------------------- 5 BPE
