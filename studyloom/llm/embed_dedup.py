@@ -5,20 +5,23 @@ k grows with the logarithm of the number of vectors, so random collisions stay i
 input; L follows from k so that a pair right at the threshold shares a key with the chance
 ``RECALL``, and closer pairs do far more often.
 
-Hot groups are thinned before any shuffle.  A task clusters the vectors of one batch that share a key
-around leaders, with exact cosines; equal vectors stay with their leader, so a group of copies, however
-large, sends one row per batch and table.  Leaders that meet are paired (all pairs in ordinary buckets,
-pairs with the first in large ones), verified exactly, and joined with the batch links into connected
-components.  In every key that this does not settle (it has members besides leaders, or is large) all
+Equal vectors are collapsed first, by two 64-bit hashes, into one vector with a count; everything below
+works on distinct vectors, so a group of copies, however large, costs one row.  A task clusters the
+vectors of one batch that share a key around leaders, with exact cosines.  Leaders that meet are paired
+(all pairs in ordinary buckets, pairs with the first in large ones), verified exactly, and joined with
+the batch links into connected components.  In every key that this does not settle (it has members besides leaders, or is large) all
 vectors of different components are then compared, in large keys as matrix products in blocks, so a
 pair that shares a key is either verified or inside one component.  Inside a component every pair of
 vectors is compared the same way, so ``n_links`` counts all links of its members and no list of pairs
-of a large group is ever built.
+of a large group is ever built; a block pair is a task of its own, so n distinct vectors of a component
+are copied ``n / BLOCK_ROWS`` times.
+
+Tables: for n vectors, about n ** 0.22 of them, as sign hashing needs for a fixed chance at the threshold.
 
 Defined cases: a null, empty or zero vector, or one with a null or non-finite component, links with
 nothing; vectors of different length never link; rows that share an id are one vector (the smallest
 as an array) and get one row each with the same answer; a row with a null id links with nothing and
-is its own component (null); an empty table gives an empty result; other columns are ignored.
+is its own component (null); ids are integers, other types raise TypeError; ties at the threshold link; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import materialize, small_batches
+from studyloom.llm.common import materialize, small_batches, workspace
 from studyloom.llm.graph import connected_components, join_hot
 
 THRESHOLD = 0.9
@@ -39,11 +42,12 @@ THRESHOLD = 0.9
 RECALL = 0.97
 #: Bits beyond log2 of the number of vectors.
 SPARE_BITS = 3
+#: Vectors that a task clusters and hashes at a time.
 BATCH_ROWS = 8192
 #: Buckets up to this size pair all their leaders; larger ones pair by components.
 BUCKET_ALL = 64
 #: Vectors in one block of a component's comparison.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 SEED = 20240501
 
 
@@ -54,12 +58,33 @@ def table_shape(rows: int, threshold: float = THRESHOLD, recall: float = RECALL)
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
-def unit_vectors(vectors: list[np.ndarray]) -> np.ndarray:
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
     matrix = np.asarray(vectors, np.float64)
     matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+def unit_groups(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors of each length."""
+    flat, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    sizes = np.diff(bounds)
+    for dim in np.unique(sizes):
+        mine = np.flatnonzero(sizes == dim)
+        yield mine, unit_vectors(flat[bounds[mine][:, None] + np.arange(dim)])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def keys_of(units: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
     """(rows, tables) 64-bit keys; table, dimension and signs all enter a key."""
     dim = units.shape[1]
@@ -89,11 +114,20 @@ def lead(ids: np.ndarray, units: np.ndarray, threshold: float) -> tuple[list[int
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): one valid vector per id."""
+    """(id, v, k1, k2): one valid vector per id, with the hashes that name it."""
+    kind = vectors.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"ids are integers, not {kind}")
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = rows.filter(F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    return fine.groupBy("id").agg(F.min("v").alias("v"))
+    one = fine.groupBy("id").agg(F.min("v").alias("v"))
+    return one.select("id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), "v").alias("k2"))
+
+
+def distinct_vectors(valid: DataFrame) -> DataFrame:
+    """(k1, k2, id, copies, v): one row per distinct vector, with the smallest id that has it."""
+    return valid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("v").alias("v"))
 
 
 def find_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -101,16 +135,12 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
     total = vectors.count()
     bits, tables = table_shape(total, threshold, recall)
     spark = vectors.sparkSession
-    small_batches(spark, BATCH_ROWS)
+    small_batches(spark)
 
     def hash_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, BATCH_ROWS):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat, bounds = batch.column(1).values.to_numpy(zero_copy_only=False), batch.column(1).offsets.to_numpy()
-            sizes = np.diff(bounds)
-            for dim in np.unique(sizes):
-                mine = np.flatnonzero(sizes == dim)
-                units = unit_vectors([flat[bounds[k] : bounds[k + 1]] for k in mine])
+            for mine, units in unit_groups(batch.column(1)):
                 own, keys = ids[mine], keys_of(units, bits, tables)
                 links: set[tuple[int, int]] = set()
                 for t in range(tables):
@@ -133,11 +163,13 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     hashed = materialize(vectors.mapInArrow(hash_batch, "key bigint, id bigint, b bigint, leads boolean"))
     local = hashed.filter("key IS NULL").select(F.col("id").alias("a"), "b")
-    buckets = materialize(hashed.filter("leads").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1"))
+    leaders = hashed.filter("leads").select("key", "id")
+    sizes = materialize(leaders.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1"))
+    small, large = sizes.filter(F.col("size") <= BUCKET_ALL), sizes.filter(F.col("size") > BUCKET_ALL)
     everyone = F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))"))
-    first = F.explode(F.expr("transform(slice(ids, 2, size(ids)), y -> struct(ids[0] AS a, y AS b))"))
-    small, large = buckets.filter(F.size("ids") <= BUCKET_ALL), buckets.filter(F.size("ids") > BUCKET_ALL)
-    pairs = small.select(everyone.alias("p")).unionByName(large.select(first.alias("p"))).select("p.*").distinct()
+    few = leaders.join(small.select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most BUCKET_ALL in a list
+    first = join_hot(leaders, large, ["key"], "size", large.agg(F.sum("size")).first()[0] or 0).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    pairs = few.select(everyone.alias("p")).select("p.*").unionByName(first).distinct()
     links = materialize(local.unionByName(verify(pairs, vectors, threshold)).distinct())
     return links.unionByName(cross_links(hashed.filter("key IS NOT NULL").select("key", "id", "leads"), links, vectors, threshold)).distinct()
 
@@ -170,11 +202,8 @@ def block_links(held: DataFrame, vectors: DataFrame, threshold: float) -> DataFr
         component, places = np.unique(group.column("component").to_numpy(), return_inverse=True)
         found = []
         if len(component) > 1:
-            vectors = group.column("v").to_pylist()
             near = np.zeros((len(component), len(component)), bool)
-            for dim in {len(v) for v in vectors}:
-                mine = np.array([k for k, v in enumerate(vectors) if len(v) == dim])
-                units = unit_vectors([vectors[k] for k in mine])
+            for mine, units in unit_groups(group.column("v").combine_chunks()):
                 i, j = np.nonzero(units @ units.T >= threshold)
                 near[places[mine[i]], places[mine[j]]] = True
             left = np.ones(len(component), bool)
@@ -200,12 +229,7 @@ def verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds = [batch.column(k).offsets.to_numpy() for k in (2, 3)]
-            flats = [batch.column(k).values.to_numpy(zero_copy_only=False) for k in (2, 3)]
-            sizes = np.diff(bounds[0])
-            for dim in np.unique(sizes):
-                mine = np.flatnonzero(sizes == dim)
-                x, y = (unit_vectors([f[o[k] : o[k + 1]] for k in mine]) for f, o in zip(flats, bounds, strict=True))
+            for (mine, x), (_, y) in zip(unit_groups(batch.column(2)), unit_groups(batch.column(3)), strict=True):  # sizes agree row by row
                 close = mine[np.einsum("ij,ij->i", x, y) >= threshold]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(close)), batch.column(1).take(pa.array(close))], names=["a", "b"])
 
@@ -213,28 +237,25 @@ def verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def count_links(members: DataFrame, total: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n_links) of ``members`` (id, component, v), all pairs within a component compared in blocks."""
+    """(id, n_links) of ``members`` (id, copies, component, v): the copies of other vectors linked with each, all pairs within a component compared in blocks."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     placed = join_hot(members, sizes, ["component"], "size", total).withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.select("id", "v", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("id", "v", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block")
+    dealt = placed.select("id", "copies", "v", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("id", "copies", "v", "component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block")
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         _, p, q = (k.as_py() for k in key)
         group = group.combine_chunks()
-        ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
-        vectors = group.column("v").to_pylist()
+        ids, block, copies = (group.column(c).to_numpy() for c in ("id", "block", "copies"))
         found = np.zeros(len(ids), np.int64)
-        for dim in {len(v) for v in vectors}:
-            mine = np.array([k for k, v in enumerate(vectors) if len(v) == dim])
-            units = unit_vectors([vectors[k] for k in mine])
+        for mine, units in unit_groups(group.column("v").combine_chunks()):
             if p == q:
-                found[mine] = (units @ units.T >= threshold).sum(axis=1) - 1
+                found[mine] = (units @ units.T >= threshold) @ copies[mine] - copies[mine]
             else:
-                left, right = mine[block[mine] == p], mine[block[mine] == q]
-                close = units[block[mine] == p] @ units[block[mine] == q].T >= threshold
-                found[left], found[right] = close.sum(axis=1), close.sum(axis=0)
+                first, second = block[mine] == p, block[mine] == q
+                close = units[first] @ units[second].T >= threshold
+                found[mine[first]], found[mine[second]] = close @ copies[mine[second]], copies[mine[first]] @ close
         return pa.table({"id": ids, "n": found})
 
     return dealt.groupBy("component", "p", "q").applyInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n_links"))
@@ -242,13 +263,18 @@ def count_links(members: DataFrame, total: int, threshold: float = THRESHOLD) ->
 
 def dedup_report(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    valid = materialize(usable(vectors, id_col, vector_col))
-    components = materialize(connected_components(find_links(valid, threshold, recall)))
-    members = materialize(valid.join(components, "id").select("id", "component", "v"))
-    links = count_links(members, components.count(), threshold)
-    answers = components.join(links, "id", "left")
-    out = vectors.select(F.col(id_col).alias("id")).join(answers, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").cast("long").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    with workspace(vectors.sparkSession) as finish:
+        valid = materialize(usable(vectors, id_col, vector_col))
+        nodes = materialize(distinct_vectors(valid))
+        components = materialize(connected_components(find_links(nodes.select("id", "v"), threshold, recall)))
+        members = materialize(nodes.join(components, "id").select("id", "copies", "component", "v"))
+        links = count_links(members, members.count(), threshold)
+        of_node = nodes.select("k1", "k2", "id", "copies").join(components, "id", "left").join(links, "id", "left")
+        of_node = materialize(of_node.select("k1", "k2", "copies", F.coalesce("component", "id").alias("component"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        answers = join_hot(valid.select("id", "k1", "k2"), of_node, ["k1", "k2"], "copies", valid.count()).select("id", "n_links", "component")
+        out = vectors.select(F.col(id_col).alias("id")).join(answers, "id", "left")
+        out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").cast("long").alias("component_id"))
+        return finish(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
 def oracle() -> str:

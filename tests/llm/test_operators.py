@@ -646,6 +646,21 @@ def test_embedding_rim_of_a_group_meets_its_members(spark, monkeypatch, bucket):
     assert {i: by[i].n_links for i in unit} == {i: sum(i in p for p in links) for i in unit}
 
 
+def test_embedding_copies_and_one_large_component(spark):
+    """A third of all rows are one vector, a third one chain of near copies; scaled copies link and strings are no ids."""
+    rng = np.random.default_rng(3)
+    hub, chain = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(k, hub.tolist()) for k in range(900)] + [(1000 + k, (chain + rng.standard_normal(16) * 0.05).tolist()) for k in range(900)] + [(2000 + k, rng.standard_normal(16).tolist()) for k in range(900)] + [(3000, (hub * 2).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    by = {r.vec_id: r for r in embed_dedup.dedup_report(frame).collect()}
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    degree = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert [by[i].n_links for i, _ in rows[:1800]] == degree[:1800].tolist() and by[3000].component_id == 0 and by[3000].n_links == 900
+    assert {by[k].component_id for k in range(900)} == {0} and {by[1000 + k].component_id for k in range(900)} == {1000}
+    with pytest.raises(TypeError):
+        embed_dedup.dedup_report(frame.withColumn("vec_id", F.col("vec_id").cast("string")))
+
+
 def test_table_shape_reaches_its_recall():
     for rows in (10, 1000, 10**6, 10**9):
         bits, tables = embed_dedup.table_shape(rows)
