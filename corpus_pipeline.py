@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from studyloom.llm import bpe, decontam, langid, ngram_join, toxicity
 from studyloom.llm.common import materialize, table
-from studyloom.llm.queries import TOKENIZERS
+from studyloom.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language is rejected when it is undetermined or less likely than this.
@@ -65,7 +65,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of the ids and of the decoded text."""
-    encoded = bpe.encode_texts(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    encoded = bpe.encode_texts(docs, VOCABULARY)
     return encoded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

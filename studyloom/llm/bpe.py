@@ -12,9 +12,11 @@ letters, digits, signs or spaces, a sequence of BPE tokens is the encoding of it
 every adjacent pair is; so an edge there is right when the window's outermost token equals the
 side's token at that edge.  (3) A window that covers both sides entirely is the encoding itself.
 
-Texts above ``task_chars`` are dealt as pieces over all tasks, so no task ever encodes one very long
-text alone; the pieces' joins then run where the document's token ids meet, which a hash over the
-whole id sequence needs in any case.
+Texts above ``task_chars`` are dealt as pieces over all tasks, so their halves are encoded in parallel and
+no task encodes a very long text alone.  Pieces are never cut inside a special string; a special token is
+one token with hard edges, so the joins hold across it.  The pieces' joins re-encode only windows; they
+run pairwise where the document's token ids meet, which a hash over the whole id sequence needs in any
+case.
 
 Defined cases: null is the empty text; special strings in a text become their special token, as the
 library does by default; repeated rows and null ids give one row each; an empty table gives an empty
@@ -38,7 +40,7 @@ from studyloom.llm.common import release_memory, small_batches
 from studyloom.llm.token_counts import byte_alphabet
 
 #: Characters in one leaf of the tree, in one library call, and in a text that one task encodes alone.
-LEAF_CHARS, CALL_CHARS, TASK_CHARS = 16_384, 200_000, 4_000_000
+LEAF_CHARS, CALL_CHARS, TASK_CHARS = 16_384, 200_000, 131_072
 FIRST_WINDOW = 8
 
 
@@ -149,6 +151,22 @@ class Codec:
                 parts = out
         return parts
 
+    def pieces_of(self, text: str, size: int) -> list[str]:
+        """The text in pieces of about so many characters, no special string cut."""
+        out, start = [], 0
+        while start < len(text):
+            end = min(len(text), start + size)
+            moved = True
+            while moved and end < len(text):  # a cut inside a special string moves behind it
+                moved = False
+                for piece in self.special:
+                    at = text.find(piece, max(start, end - len(piece) + 1), end + len(piece) - 1)
+                    if at >= 0 and at < end < at + len(piece):
+                        end, moved = at + len(piece), True
+            out.append(text[start:end])
+            start = end
+        return out
+
     def encode_all(self, texts: list[str], leaf_chars: int = LEAF_CHARS) -> list[np.ndarray]:
         """Ids of every text; the leaves of all texts are encoded together, then joined as trees."""
         leaves: list[str] = []
@@ -213,6 +231,14 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_
                 start = end
         release_memory()
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(tokenizer_path)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                for part, text in enumerate(codec.pieces_of(row.column(2)[0].as_py(), task_chars)):
+                    yield pa.RecordBatch.from_arrays([*row.columns[:2], pa.array([part], pa.int32()), pa.array([text])], names=["id", "key", "part", "text"])
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer_path)
         for batch in batches:
@@ -224,9 +250,7 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_
     def gather(group: pa.Table) -> pa.Table:
         codec = Codec.of(tokenizer_path)
         group = group.sort_by("part")
-        nodes = [(t, np.frombuffer(i, "<u4").astype(np.uint32)) for t, i in zip(group.column("text").to_pylist(), group.column("ids").to_pylist(), strict=True)]
-        text = "".join(t for t, _ in nodes)
-        found = codec.encode_all([text], leaf_chars)[0] if any(s in text for s in codec.special) else codec.fold(nodes)[1]
+        text, found = codec.fold([(t, np.frombuffer(i, "<u4").astype(np.uint32)) for t, i in zip(group.column("text").to_pylist(), group.column("ids").to_pylist(), strict=True)])
         return pa.Table.from_batches([out(group.column("id").combine_chunks().slice(0, 1), [row(codec, text, found)])])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -234,7 +258,6 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_
     schema = f"id {id_type}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string, same boolean"
     short = source.filter(F.coalesce(F.length("text"), F.lit(0)) <= task_chars).mapInArrow(whole, schema)
     cut = source.filter(F.length("text") > task_chars).withColumn("key", F.monotonically_increasing_id())
-    dealt = cut.select("id", "key", F.explode(F.expr(f"sequence(0, cast((length(text) - 1) div {task_chars} as int))")).alias("part"), "text")
-    dealt = dealt.select("id", "key", "part", F.expr(f"substring(text, part * {task_chars} + 1, {task_chars})").alias("text")).repartition("key", "part")
+    dealt = cut.select("id", "key", "text").mapInArrow(deal, f"id {id_type}, key bigint, part int, text string").repartition("key", "part")
     long = dealt.mapInArrow(pieces, f"id {id_type}, key bigint, part int, text string, ids binary").groupBy("key").applyInArrow(gather, schema)
     return short.unionByName(long).withColumnRenamed("id", id_col)

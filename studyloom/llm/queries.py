@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from studyloom.llm import bpe, decontam, embed_dedup, html_extract, langid, license_scan, ngram_join, token_counts, toxicity, warc
 from studyloom.llm.common import table
 
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Vocabulary file of the byte-level BPE queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", ids=False)
+    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -47,7 +46,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.llm import bpe, decontam, embed_dedup, graph, html_extract, langid, license_scan, ngram_join, token_counts, toxicity, warc
-from studyloom.llm.queries import TOKENIZERS
+from studyloom.llm.queries import VOCABULARY
 
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, score string, b string, label string, w string, h string"
 
 
@@ -380,7 +379,7 @@ def test_tree_joins_equal_the_library(leaf):
 
 
 def test_bpe_over_tasks_equals_the_library(spark):
-    texts = [*ODD, (20, "a" * 5_000), (21, "mixed 'text' with 123 " * 400), (22, "x <|endoftext|> y" * 50)]
+    texts = [*ODD, (20, "a" * 5_000), (21, "mixed 'text' with 123 " * 400), (22, "x <|endoftext|> y" * 50), *((30 + k, t * 40) for k, t in enumerate(odd_texts()[:60]))]
     got = bpe.encode_texts(docs(spark, texts), VOCABULARY, leaf_chars=64, task_chars=1000).collect()
     want = sorted((str(i), len(library(t)), hashlib.sha256(struct.pack(f"<{len(library(t))}I", *library(t))).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts)
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want and all(r.same for r in got)
