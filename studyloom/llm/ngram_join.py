@@ -4,23 +4,30 @@ A text's set holds its distinct five-word shingles as 64-bit hashes.  Two sets l
 ``100 * |x & y| >= 75 * |x | y|``.  The result is the class of every text under the links; no list of
 all pairs of a group is ever built, yet no link between different texts is lost:
 
-* Order: shingles that many texts hold come last, the rest first, each part by hash.  The texts of
-  each shingle are counted exactly, over all texts, through a shuffle of four bytes per shingle.
+* Nodes: texts with equal sets (128-bit fingerprints) are one node, found by a grouped minimum, so a
+  group of copies costs one row whatever its size; one text of each node is kept for what follows.
+* Order: shingles that many nodes hold come last, the rest first, each part by hash.  Every shingle of
+  every node is counted exactly through a shuffle of four bytes per shingle, and one bit per shingle
+  goes back to the group of texts that it came from; nothing about shingles reaches the driver or a
+  task closure, and the least count of a frequent shingle is the same at every size.
 * Index: only the prefix of a set, its first ``n - ceil(3n / 4) + 1`` shingles, enters the inverted
-  lists.  Equal sets of one task enter once; the others take their class from it.
+  lists.
 * Skipping: a list knows each set's size and how many shingles follow the shared one.  Pairs whose
   sizes or remaining shingles cannot reach the needed overlap are skipped, block by block where a
   list is long.
-* Set relations: in a long list every set is first compared with the list's first set only.  A set
-  that links to it takes over its answers: pairs inside a class that is already connected are not
-  compared again, and only pairs of different classes remain for the second round.
-* Verification: sets with equal fingerprints link at once; a parity sketch bounds the symmetric
-  difference from below and rejects most others; what is left is intersected exactly.
+* Set relations: in a long list every set is first compared with the list's first set and with its
+  neighbours only.  A set that links takes over the answers of the set it links to: pairs inside a class
+  that is already connected are not compared again, lists of one class are dropped, and only pairs
+  of different classes remain for the second round.  There a list is dealt as pairs of blocks, so no
+  task holds more than two blocks of it, and a parity sketch rejects pairs before they are emitted.
+* Verification: the sketch bounds the symmetric difference from below and rejects most pairs; what is
+  left is intersected exactly.
 
 Defined cases: null, empty and blank texts have an empty set that links with nothing; with fewer
 words than a shingle the whole sequence is the one shingle; rows that share an id are one node with
 several sets; a row with a null id gets a null class and links with nothing; repeated rows give one
-row each; an empty table gives an empty result; other columns are ignored.
+row each; ids are integers, other types raise TypeError; a tie at the threshold links; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,26 +41,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from studyloom.llm.common import materialize, release_memory, small_batches
-from studyloom.llm.graph import connected_components
+from studyloom.llm.common import materialize, release_memory, small_batches, workspace
+from studyloom.llm.graph import connected_components, join_hot
 
 SHINGLE = 5
 #: Link when LINK_TOP * intersection >= LINK_LOW * union.
 LINK_TOP, LINK_LOW = 100, 75
-#: A shingle is frequent when so many texts hold it; at most FREQUENT_MOST names travel with the tasks.
-FREQUENT_LEAST, FREQUENT_MOST = 16, 4_000_000
-#: Shingles that a task gathers before it counts or deals them out.
-GROUP_SHINGLES = 1_500_000
-#: Rows in one Arrow batch; packed lists and sets ride in these batches.
-BATCH_ROWS = 64
+#: A shingle is frequent when so many different sets hold it.
+FREQUENT_LEAST = 16
+#: Bytes of text in one group, whose shingles are dealt out and flagged together, and for one part of the inverted lists.
+GROUP_BYTES, PART_BYTES = 8 << 20, 2 << 20
+#: Marks that a task remembers to send each text once.
+MARKS_HELD = 1_000_000
 #: Lists up to this length pair all their sets at once.
 SHORT_LIST = 8
-#: Sets compared at a time in a long list.
-BLOCK = 256
-#: Texts for one part of the inverted lists, and the most parts there may be.
-PART_ROWS, MOST_PARTS = 1000, 1 << 20
-#: Ids up to this count may be broadcast to select the texts that need exact verification.
-BROADCAST_IDS = 1_000_000
+#: Sets that follow a set in a long list and are compared with it in the first round.
+NEIGHBOURS = 2
+#: Sets compared at a time in a long list, and sets in a block of one task.
+BLOCK, TASK_BLOCK = 256, 4096
+#: Candidate pairs whose sketches are compared at a time.
+SKETCH_PAIRS = 100_000
+#: The most parts of the inverted lists there may be.
+MOST_PARTS = 1 << 20
+#: Nodes up to this count may be broadcast to select the texts that need exact verification.
+BROADCAST_IDS = 500_000
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 ENTRY = np.dtype([("token", "<u4"), ("node", "<i8"), ("size", "<u4"), ("rest", "<u2")])
@@ -123,95 +134,110 @@ def packed_parts(part: np.ndarray, values: np.ndarray, kind: str) -> pa.RecordBa
     return rows_of(kind=kind, part=part[starts].astype(np.int32), blob=[values[s:e].tobytes() for s, e in zip(starts, ends, strict=True)])
 
 
-def frequent_shingles(texts: DataFrame, parts: int) -> np.ndarray:
-    """Sorted names (part << 32 | token) of the shingles that FREQUENT_LEAST texts or more hold.
+def ordered_sets(group: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct nodes among a group's rows with a text, in the order of their marks, and their sets."""
+    texts = {}
+    for mark, text in zip(group.column("mark").to_pylist(), group.column("text").to_pylist(), strict=True):
+        if text is not None:
+            texts.setdefault(mark, text)
+    marks = sorted(texts)
+    return marks, [shingle_set(texts[m]) for m in marks]
 
-    Every shingle of every text is counted.  If the names are more than FREQUENT_MOST the least count
-    doubles until they fit.
-    """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                held.append(shingle_set(text))
-                size += len(held[-1])
-            if size >= GROUP_SHINGLES:
-                yield packed_parts(*place_of(np.concatenate(held), parts), "tokens")
-                held, size = [], 0
-        if size:
-            yield packed_parts(*place_of(np.concatenate(held), parts), "tokens")
-        held = []
-        release_memory()
+def profiled(texts: DataFrame) -> DataFrame:
+    """(id, n, mark, text) of every row of (id, text); the text rides along where its set is the task's first of that mark."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[bytes] = set()
         for batch in batches:
-            for part, blob in zip(batch.column(1).to_pylist(), batch.column(6), strict=True):
-                held.setdefault(part, []).append(np.frombuffer(blob.as_buffer(), "<u4").copy())
-        for part in sorted(held):
-            values, counts = np.unique(np.concatenate(held.pop(part)), return_counts=True)
-            often = counts >= FREQUENT_LEAST
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64) | part << 32), pa.array(counts[often].astype(np.int64))], names=["name", "n"])
+            sizes, marks, carried = [], [], []
+            ids = batch.column(0).to_pylist()
+            for doc, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                found = shingle_set(text)
+                mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                fresh = doc is not None and len(found) and mark not in known
+                if fresh:
+                    known.add(mark)
+                sizes.append(len(found))
+                marks.append(mark)
+                carried.append(text if fresh else None)
+            if len(known) > MARKS_HELD:
+                known = set()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(carried, pa.binary())], names=["id", "n", "mark", "text"])
+        known = set()
+        release_memory()
 
-    dealt = texts.mapInArrow(deal, ROWS_DDL).repartition(max(16, parts // 4), "part")
-    often = materialize(dealt.mapInArrow(count, "name bigint, n bigint"))
-    least = FREQUENT_LEAST
-    while often.filter(F.col("n") >= least).count() > FREQUENT_MOST:
-        least *= 2
-    return np.sort(often.filter(F.col("n") >= least).select("name").toArrow().column(0).to_numpy())  # at most FREQUENT_MOST
+    return texts.mapInArrow(profile, "id bigint, n bigint, mark binary, text binary")
 
 
-def indexed(texts: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """Rows dealt by ``part``: profiles of all texts, links of equal sets, and packed index entries."""
+def frequent_flags(carried: DataFrame, parts: int) -> DataFrame:
+    """(grp, part, blob): for each group of texts and part, a bit per shingle in dealt order that says whether FREQUENT_LEAST sets or more hold it."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: list[np.ndarray] = []
-        places: list[np.ndarray] = []
-        known: dict[bytes, int] = {}
-        size = 0
+    def deal(group: pa.Table) -> pa.Table:
+        grp = group.column("grp")[0].as_py()
+        sets = ordered_sets(group)[1]
+        out = pa.Table.from_batches([packed_parts(*place_of(np.concatenate(sets), parts), "tokens")], ROWS)
+        return out.set_column(2, "a", pa.array(np.full(out.num_rows, grp), pa.int64()))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
-            ids, profiles, links = batch.column(0).to_pylist(), [], []
-            for doc, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                found = shingle_set(text)
-                mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                profiles.append((doc, len(found), mark, sketch_of(found)))
-                if doc is None or not len(found):
-                    continue
-                if (first := known.setdefault(mark, doc)) != doc:
-                    links.append((first, doc))
-                    continue
-                part, token = place_of(found, parts)
-                name = token.astype(np.int64) | part.astype(np.int64) << 32
-                at = np.searchsorted(frequent, name)
-                often = frequent[np.minimum(at, len(frequent) - 1)] == name if len(frequent) else np.zeros(len(found), bool)
-                length = prefix_length(len(found))
-                prefix = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])[:length]
-                entry = np.empty(len(prefix), ENTRY)
-                entry["token"], entry["node"], entry["size"] = token[prefix], doc, len(found)
-                rest = len(found) - 1 - np.arange(len(prefix))
-                entry["rest"] = -(-rest * 65535 // len(found))  # share of the set that follows, rounded up
-                entries.append(entry)
-                places.append(part[prefix])
-                size += len(found)
-            if profiles:
-                doc, n, mark, sketch = zip(*profiles, strict=True)
-                yield rows_of(kind="profile", part=np.array([(d or 0) % parts for d in doc], np.int32), a=doc, n=n, mark=mark, blob=sketch)
-            if links:
-                a, b = zip(*links, strict=True)
-                yield rows_of(kind="link", part=np.array([d % parts for d in b], np.int32), a=a, b=b)
-            if size >= GROUP_SHINGLES:
-                yield packed_parts(np.concatenate(places), np.concatenate(entries), "entries")
-                entries, places, size = [], [], 0
-            if len(known) > 1_000_000:
-                known = {}
-        if entries:
-            yield packed_parts(np.concatenate(places), np.concatenate(entries), "entries")
-        entries, places, known = [], [], {}
-        release_memory()
-
-    return texts.mapInArrow(deal, ROWS_DDL)
+            for part, grp, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(6), strict=True):
+                held.setdefault(part, []).append((grp, np.frombuffer(blob.as_buffer(), "<u4").copy()))
+        for part in sorted(held):
+            blobs = held.pop(part)
+            values, counts = np.unique(np.concatenate([b for _, b in blobs]), return_counts=True)
+            often = values[counts >= FREQUENT_LEAST]
+            if not len(often):
+                continue
+            rows = []
+            for grp, blob in blobs:
+                bits = often[np.minimum(np.searchsorted(often, blob), len(often) - 1)] == blob
+                if bits.any():
+                    rows.append((grp, np.packbits(bits).tobytes()))
+            if rows:
+                grps, bits = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grps, pa.int32()), pa.array([part] * len(grps), pa.int32()), pa.array(bits, pa.binary())], names=["grp", "part", "blob"])
+
+    dealt = carried.select("grp", "mark", "text").groupBy("grp").applyInArrow(deal, ROWS_DDL).select("kind", "part", "a", "b", "n", "mark", "blob")
+    return dealt.repartition(max(16, parts // 4), "part").mapInArrow(count, "grp int, part int, blob binary")
+
+
+def indexed(carried: DataFrame, nodes: DataFrame, flags: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt by ``part``: profiles (a: node, n, sketch) of all nodes and packed index entries."""
+
+    def deal(group: pa.Table) -> pa.Table:
+        marks, sets = ordered_sets(group)
+        named = {m: node for m, node in zip(group.column("mark").to_pylist(), group.column("node").to_pylist(), strict=True) if node is not None}
+        every = np.concatenate(sets)
+        part, token = place_of(every, parts)
+        order = np.argsort(part, kind="stable")
+        often, dealt = np.zeros(len(every), bool), part[order]
+        for p, blob in zip(group.column("part").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            if blob is not None:
+                start, end = np.searchsorted(dealt, [p, p + 1])
+                often[order[start:end]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=end - start).astype(bool)
+        entries, places, profiles, start = [], [], [], 0
+        for mark, found in zip(marks, sets, strict=True):
+            end, node = start + len(found), named[mark]
+            rare = ~often[start:end]
+            prefix = np.concatenate([np.flatnonzero(rare), np.flatnonzero(~rare)])[: prefix_length(len(found))]
+            entry = np.empty(len(prefix), ENTRY)
+            entry["token"], entry["node"], entry["size"] = token[start:end][prefix], node, len(found)
+            rest = len(found) - 1 - np.arange(len(prefix))
+            entry["rest"] = -(-rest * 65535 // len(found))  # share of the set that follows, rounded up
+            entries.append(entry)
+            places.append(part[start:end][prefix])
+            profiles.append((node, len(found), sketch_of(found)))
+            start = end
+        node, n, sketch = zip(*profiles, strict=True)
+        return pa.Table.from_batches([rows_of(kind="profile", part=np.array([k % parts for k in node], np.int32), a=node, n=n, blob=sketch), packed_parts(np.concatenate(places), np.concatenate(entries), "entries")], ROWS)
+
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = carried.select("grp", "mark", "text", null("long").alias("node"), null("int").alias("part"), null("binary").alias("blob"))
+    rows = rows.unionByName(nodes.select("grp", "mark", null("binary").alias("text"), "node", null("int").alias("part"), null("binary").alias("blob")))
+    rows = rows.unionByName(flags.select("grp", null("binary").alias("mark"), null("binary").alias("text"), null("long").alias("node"), "part", "blob"))
+    return rows.groupBy("grp").applyInArrow(deal, ROWS_DDL)
 
 
 ROWS_DDL = "kind string, part int, a bigint, b bigint, n bigint, mark binary, blob binary"
@@ -230,9 +256,9 @@ def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def list_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of one part's entries: candidate pairs (a, b) of short lists and of first sets of long lists, and the long lists."""
+    """Of one part's entries: candidate pairs (a, b) of short lists, of long lists those with the first set and between neighbours, and the long lists."""
     entries = entries[np.lexsort((entries["node"], entries["token"]))]
-    fresh = np.r_[True, (entries["token"][1:] != entries["token"][:-1]) | (entries["node"][1:] != entries["node"][:-1]) | (entries["size"][1:] != entries["size"][:-1])]
+    fresh = np.r_[True, (entries["token"][1:] != entries["token"][:-1]) | (entries["node"][1:] != entries["node"][:-1])]
     entries = entries[fresh]
     starts = np.flatnonzero(np.r_[True, entries["token"][1:] != entries["token"][:-1]])
     lengths = np.diff(np.r_[starts, len(entries)])
@@ -240,7 +266,7 @@ def list_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.nda
     spot = np.arange(len(entries)) - starts[of_list]
     left, right = [], []
     for gap in range(1, SHORT_LIST):  # every pair of a short list, by distance
-        ahead = np.flatnonzero((lengths[of_list] <= SHORT_LIST) & (spot + gap < lengths[of_list]))
+        ahead = np.flatnonzero((spot + gap < lengths[of_list]) & ((lengths[of_list] <= SHORT_LIST) | (gap <= NEIGHBOURS)))
         if not len(ahead):
             break
         fit = may_link(entries[ahead], entries[ahead + gap])
@@ -280,21 +306,53 @@ def join_lists(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(join, ROWS_DDL)
 
 
-def cross_pairs(lists: DataFrame, components: DataFrame) -> DataFrame:
+def sketches_meet(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Which of the candidate pairs (x[i], y[j]) their sketches leave open; sketches of one width are compared at a time."""
+    widths = [np.array([len(b) for b in side]) for side in (left, right)]
+    tables = [{w: np.frombuffer(b"".join(b for b in side if len(b) == w), np.uint8).reshape(-1, w) for w in set(at.tolist())} for side, at in zip((left, right), widths, strict=True)]
+    rows = [np.zeros(len(at), np.int64) for at in widths]
+    for at, row in zip(widths, rows, strict=True):
+        for w in np.unique(at):
+            row[at == w] = np.arange((at == w).sum())
+    n, m = x["size"][i].astype(np.int64), y["size"][j].astype(np.int64)
+    most = n + m - 2 * needed(n, m)
+    open_ = np.zeros(len(i), bool)
+    for w in np.unique(widths[0][i]):
+        for v in np.unique(widths[1][j]):
+            both = np.flatnonzero((widths[0][i] == w) & (widths[1][j] == v))
+            least = min(w, v)
+            for at in range(0, len(both), SKETCH_PAIRS):
+                some = both[at : at + SKETCH_PAIRS]
+                a, b = tables[0][w][rows[0][i[some]]], tables[1][v][rows[1][j[some]]]
+                a, b = (np.bitwise_xor.reduce(t.reshape(len(t), -1, least), axis=1) for t in (a, b))
+                open_[some] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most[some]
+    return open_
+
+
+def cross_pairs(lists: DataFrame, components: DataFrame, profiles: DataFrame) -> DataFrame:
     """(a, b): candidates of long lists between sets of different classes, those with the first set left out."""
-    placed = lists.select("part", F.col("b").alias("token"), F.col("a").alias("id"), "n").join(components, "id", "left").select("part", "token", "id", "n", F.coalesce("component", "id").alias("component"))
-
-    def cross(group: pa.Table) -> pa.Table:
-        node, component, n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
+    placed = materialize(lists.select("part", F.col("b").alias("token"), F.col("a").alias("id"), "n").join(components, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    groups = placed.groupBy("part", "token").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min("component").alias("least"), F.max("component").alias("most"))
+    groups = materialize(groups.filter("least < most").select("part", "token", "size", "first"))
+    total = groups.agg(F.sum("size")).first()[0]
+    if not total:
+        return placed.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    mixed = join_hot(placed, groups, ["part", "token"], "size", total).filter("id <> first").withColumn("blocks", F.ceil(F.col("size") / TASK_BLOCK).cast("int"))
+    mixed = mixed.join(profiles.select(F.col("a").alias("id"), F.col("blob").alias("sketch")), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = mixed.select("part", "token", "id", "n", "component", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("part", "token", "id", "n", "component", "sketch", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def cross(key: tuple, group: pa.Table) -> pa.Table:
+        _, _, p, q = (k.as_py() for k in key)
+        node, component, n, block = (group.column(c).to_numpy() for c in ("id", "component", "n", "block"))
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if (component == component[0]).all():
             return empty
         entries = np.empty(len(node), ENTRY)
         entries["token"], entries["node"], entries["size"], entries["rest"] = 0, node, n >> 16, n & 0xFFFF
-        keep = node != node.min()
-        entries, component = entries[keep], component[keep]
         order = np.lexsort((-entries["rest"].astype(np.int64), entries["size"]))
-        entries, component = entries[order], component[order]
+        entries, component, block = entries[order], component[order], block[order]
+        sketch = group.column("sketch").combine_chunks().take(pa.array(order)).to_pylist()
         out = []
         for s in range(0, len(entries), BLOCK):
             x = entries[s : s + BLOCK]
@@ -305,41 +363,44 @@ def cross_pairs(lists: DataFrame, components: DataFrame) -> DataFrame:
                 reach = 1 + min(np.ceil(x["rest"] / 65535 * x["size"]).max(), np.ceil(y["rest"] / 65535 * y["size"]).max())
                 if reach < needed(x["size"][:1], y["size"][:1])[0]:
                     continue  # no set of the block has enough shingles left
-                i, j = np.nonzero((component[s : s + BLOCK, None] != component[None, t : t + BLOCK]) & may_link(x[:, None], y[None, :]))
+                fit = (component[s : s + BLOCK, None] != component[None, t : t + BLOCK]) & may_link(x[:, None], y[None, :])
+                if p != q:  # pairs inside a block belong to the task of that block alone
+                    fit &= block[s : s + BLOCK, None] != block[None, t : t + BLOCK]
+                i, j = np.nonzero(fit)
                 if s == t:
                     i, j = i[i < j], j[i < j]
-                out.append(np.stack([x["node"][i], y["node"][j]], axis=1))
+                if len(i):
+                    kept = sketches_meet(x, y, i, j, sketch[s : s + BLOCK], sketch[t : t + BLOCK])
+                    out.append(np.stack([x["node"][i[kept]], y["node"][j[kept]]], axis=1))
         if not out:
             return empty
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return placed.groupBy("part", "token").applyInArrow(cross, "a bigint, b bigint").distinct()
+    return dealt.groupBy("part", "token", "p", "q").applyInArrow(cross, "a bigint, b bigint").distinct()
 
 
-def verify(pairs: DataFrame, profiles: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of candidate ``pairs`` (a, b)."""
-    side = lambda c: profiles.select(F.col("a").alias(c), F.struct("n", "mark", "blob").alias(f"{c}_"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_.*", F.col("b_.n").alias("m"), F.col("b_.mark").alias("mark2"), F.col("b_.blob").alias("blob2"))
+def verify(pairs: DataFrame, profiles: DataFrame, carried: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The linked ones of candidate ``pairs`` (a, b) of nodes."""
+    side = lambda c: profiles.select(F.col("a").alias(c), F.struct("n", "blob").alias(f"{c}_"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_.*", F.col("b_.n").alias("m"), F.col("b_.blob").alias("blob2"))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sure = [], []
-            for k, (n, mark, blob, m, mark2, blob2) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True)):
-                if mark == mark2 or sketch_distance(blob, blob2) <= n + m - 2 * -(-(n + m) * LINK_LOW // (LINK_TOP + LINK_LOW)):
-                    kept.append(k)
-                    sure.append(mark == mark2)
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            most = n + m - 2 * needed(n, m)
+            kept = [k for k, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)) if sketch_distance(a, b) <= most[k]]
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    sifted = materialize(known.mapInArrow(sift, "a bigint, b bigint, sure boolean"))
-    open_pairs = sifted.filter("NOT sure").select("a", "b").distinct()
-    ids = materialize(open_pairs.select(F.col("a").alias("id")).unionByName(open_pairs.select(F.col("b").alias("id"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
+    sifted = materialize(known.mapInArrow(sift, "a bigint, b bigint"))
+    ids = sifted.select(F.col("a").alias("node")).unionByName(sifted.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.select("node", "mark", F.col("tid").alias("id")).join(ids, "node"))
+    few = wanted.count() <= BROADCAST_IDS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "held"])
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,30 +413,58 @@ def verify(pairs: DataFrame, profiles: DataFrame, texts: DataFrame) -> DataFrame
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    sets = materialize(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(gather, "id bigint, held binary"))
-    both = open_pairs.join(sets.select(F.col("id").alias("b"), F.col("held").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("held").alias("x")), "a").select("a", "b", "x", "y")
-    return sifted.filter("sure").select("a", "b").unionByName(both.mapInArrow(intersect, "a bigint, b bigint")).distinct()
+    sets = carried.join(F.broadcast(wanted) if few else wanted, ["mark", "id"]).select("node", "text").mapInArrow(gather, "node bigint, held binary")
+    sets = materialize(sets)
+    both = sifted.join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(intersect, "a bigint, b bigint").distinct()
+
+
+def same_id_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes of ids that have several sets."""
+    groups = rows.groupBy("id").agg(F.min("mark").alias("least"), F.max("mark").alias("most"), F.count("*").alias("rows")).filter("least <> most").select("id", "least", "rows")
+    groups = materialize(groups)
+    total = groups.agg(F.sum("rows")).first()[0]
+    if not total:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    marks = join_hot(rows.select("id", "mark"), groups, ["id"], "rows", total).select("mark", "least").filter("mark <> least").distinct()
+    return marks.join(nodes.select("mark", F.col("node").alias("a")), "mark").join(nodes.select(F.col("mark").alias("least"), F.col("node").alias("b")), "least").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) of every row; the ids are integers."""
-    small_batches(df.sparkSession, BATCH_ROWS)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = min(MOST_PARTS, max(64, texts.count() // PART_ROWS))
-    frequent = frequent_shingles(texts, parts)
-    dealt = indexed(texts, frequent, parts).repartition(max(16, parts // 4), "part")
-    joined = materialize(join_lists(dealt))
-    profiles = joined.filter("kind = 'profile'")
+    kind = df.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"ids are integers, not {kind}")
+    small_batches(df.sparkSession)
+    with workspace(df.sparkSession) as finish:
+        return finish(classes_of(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).withColumnRenamed("id", id_col))
+
+
+def classes_of(texts: DataFrame) -> DataFrame:
+    rows = materialize(profiled(texts))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, parts = max(16, total // GROUP_BYTES), min(MOST_PARTS, max(64, total // PART_BYTES))
+    placed = rows.filter("id IS NOT NULL AND n > 0").withColumn("grp", F.pmod(F.xxhash64("mark"), F.lit(groups)).cast("int"))
+    nodes = placed.groupBy("mark", "grp").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min(F.when(F.col("text").isNotNull(), F.col("id"))).alias("tid"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    carried = placed.filter("text IS NOT NULL").select("grp", "mark", "id", "text")
+    flags = materialize(frequent_flags(carried, parts))
+    joined = materialize(join_lists(indexed(carried, nodes, flags, parts).repartition(max(16, parts // 4), "part")))
+    profiles = joined.filter("kind = 'profile'").select("a", "n", "blob")
     pairs = joined.filter("kind = 'pair'").select("a", "b").distinct()
-    links = materialize(joined.filter("kind = 'link'").select("a", "b").unionByName(verify(pairs, profiles.filter("a IS NOT NULL"), texts)).distinct())
+    links = materialize(same_id_links(placed.select("id", "mark"), nodes).unionByName(verify(pairs, profiles, carried, nodes)).distinct())
     components = materialize(connected_components(links))
-    lists = joined.filter("kind = 'list'")
-    more = materialize(cross_pairs(lists, components)).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(verify(more, profiles.filter("a IS NOT NULL"), texts))
+    more = cross_pairs(joined.filter("kind = 'list'"), components, profiles).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(verify(materialize(more), profiles, carried, nodes))
     if not more.isEmpty():
-        components = connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    out = profiles.select(F.col("a").alias("id"), F.col("n").alias("n_shingles")).join(components, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        components = materialize(connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    of_node = nodes.select("mark", "copies", "first", "node").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of_node.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+    of_node = materialize(join_hot(of_node, least, ["component"], "size", nodes.count()).select("mark", "copies", "component_id"))
+    found = join_hot(placed.select("id", "n", "mark"), of_node, ["mark"], "copies", placed.count()).select("id", "n", "component_id")
+    alone = rows.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
+    empty = alone.join(found.groupBy("id").agg(F.min("component_id").alias("other")), "id", "left").select("id", "n", F.coalesce("other", "component_id").alias("component_id"))
+    return found.unionByName(empty).withColumnRenamed("n", "n_shingles")
 
 
 def oracle() -> str:

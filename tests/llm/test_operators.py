@@ -432,11 +432,40 @@ def test_long_lists_lose_no_pair_and_keep_to_their_filters(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
     monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 10_000)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "TASK_BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "NEIGHBOURS", 0)
     texts = family_texts(120, 9)
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
     assert got == brute_classes(texts)
 
 
+def test_ids_with_several_sets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 10_000)
+    rng = random.Random(31)
+    common = [f"c{k}" for k in range(25)]
+    make = lambda n: " ".join(common + [f"x{rng.randint(0, 10**6)}" for _ in range(n)])
+    texts = [(1, make(40)), (1, "short " + " ".join(common))] + [(2 + k, f"v{k} " + " ".join(common)) for k in range(9)] + [(20, make(30)), (20, make(60)), (21, ""), (21, make(30))]
+    got = ngram_join.near_duplicates(docs(spark, texts)).collect()
+    want = brute_classes(texts)
+    assert len(got) == len(texts) and all(r.component_id == want[r.doc_id] for r in got) and want[10] == 1
+    with pytest.raises(TypeError):
+        ngram_join.near_duplicates(docs(spark, texts), id_col="id")
+
+
+def test_a_hot_list_and_a_hot_copy_keep_to_small_tasks(spark, monkeypatch):
+    """A passage in every text, one text copied to a third of all rows, and a third of near copies."""
+    monkeypatch.setattr(ngram_join, "TASK_BLOCK", 64)
+    rng = random.Random(41)
+    passage = " ".join(f"p{k}" for k in range(12))
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base = [word() for _ in range(60)]
+    near = [" ".join([*base[:40], *(word() for _ in range(2)), *base[42:]]) for _ in range(300)]
+    texts = [(k, f"{passage} one and the same text of all of these") for k in range(300)] + [(300 + k, t) for k, t in enumerate(near)] + [(600 + k, f"{passage} " + " ".join(word() for _ in range(3))) for k in range(300)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_sketch_distance_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):
