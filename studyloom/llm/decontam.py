@@ -48,10 +48,13 @@ NUMBER_HASH, UNIT_HASH, NAME_HASH = -1, -2, -3
 BEFORE_NAME = (r"(?<=[\p{L}\p{N},;][ ]{1,2})", r"(?<![\p{L}\p{N}])")
 
 
+def prepared(text: Column) -> Column:
+    """What both forms share: no marks in the text itself, decimal numbers as one token."""
+    return F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME + GLUE + UNIT, "   "), r"[.,](?<=\d[.,])(?=\d)", GLUE)
+
+
 def marked(text: Column, form: int = 0) -> Column:
-    """Lower-cased text in which names and units carry marks; decimal numbers and full names are one token."""
-    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME + GLUE + UNIT, "   ")
-    text = F.regexp_replace(text, r"[.,](?<=\d[.,])(?=\d)", GLUE)
+    """Lower-cased text of a prepared one in which names and units carry marks; full names are one token."""
     text = F.regexp_replace(text, r"(?=\p{Lu})" + BEFORE_NAME[form], NAME)
     text = F.lower(F.regexp_replace(text, f" (?={NAME})(?<={NAME}" + r"[\p{L}]{1,40} )", GLUE))
     return F.regexp_replace(text, r"(?<=\d)\s?(?=(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}]))", " " + UNIT)
@@ -70,18 +73,16 @@ def canonical(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(first(w) > 57, F.xxhash64(w)).when(first(w) == 1, F.lit(NAME_HASH).cast("long")).when(first(w) == 3, F.lit(UNIT_HASH).cast("long")).when(first(w) >= 48, F.lit(NUMBER_HASH).cast("long")).otherwise(F.xxhash64(w)))
 
 
-def forms_of(text: Column, sizes: list[tuple[int, int]]) -> Column:
-    """Array of (form, size, w, h): a text's words and canonical tokens in each form that ``sizes`` names, once per window size."""
-    made = {form: (w := tokens(text, form), canonical(w)) for form in {f for f, _ in sizes}}
-    return F.array(*(F.struct(F.lit(form).alias("form"), F.lit(size).alias("size"), made[form][0].alias("w"), made[form][1].alias("h")) for form, size in sizes))
-
-
 def windows(rows: DataFrame, keep: list[str], sizes: list[tuple[int, int]]) -> DataFrame:
     """One row per window of ``rows`` (keep, text): ``keep``, form, size, its place ``at``, its hash, and the words and tokens it came from.
 
     Windows below ``MIN_TOKENS`` are whole texts of that length, hashed by their words alone.
     """
-    forms = rows.select(*keep, F.explode(forms_of(F.col("text"), sizes)).alias("f")).select(*keep, "f.*")
+    forms = sorted({form for form, _ in sizes})
+    words = rows.select(*keep, prepared(F.col("text")).alias("text"))
+    words = words.select(*keep, *(tokens(F.col("text"), form).alias(f"w{form}") for form in forms))  # columns of their own: each is worked out once
+    words = words.select(*keep, *(F.struct(F.lit(form).alias("form"), F.lit(size).alias("size"), F.col(f"w{form}").alias("w"), canonical(F.col(f"w{form}")).alias("h")).alias(f"f{form}_{size}") for form, size in sizes))
+    forms = words.select(*keep, F.explode(F.array(*(f"f{form}_{size}" for form, size in sizes))).alias("f")).select(*keep, "f.*")
     length = F.when((F.col("size") >= MIN_TOKENS) | (F.size("h") == F.col("size")), F.size("h") - F.col("size"))
     out = forms.select(*keep, "form", "size", "w", "h", F.explode(F.when(length >= 0, F.sequence(F.lit(0), length))).alias("at"))
     hashed = None
