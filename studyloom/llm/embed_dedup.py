@@ -46,6 +46,8 @@ SPARE_BITS = 3
 BATCH_ROWS = 8192
 #: Buckets up to this size pair all their leaders; larger ones pair by components.
 BUCKET_ALL = 64
+#: Keys of larger buckets up to this count are broadcast, more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 #: Vectors in one block of a component's comparison.
 BLOCK_ROWS = 1024
 SEED = 20240501
@@ -164,10 +166,10 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float =
     hashed = materialize(vectors.mapInArrow(hash_batch, "key bigint, id bigint, b bigint, leads boolean"))
     local = hashed.filter("key IS NULL").select(F.col("id").alias("a"), "b")
     leaders = hashed.filter("leads").select("key", "id")
-    sizes = materialize(leaders.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1"))
-    small, large = sizes.filter(F.col("size") <= BUCKET_ALL), sizes.filter(F.col("size") > BUCKET_ALL)
+    large = materialize(leaders.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter(F.col("size") > BUCKET_ALL))
+    keys = F.broadcast(large.select("key")) if large.count() <= BROADCAST_KEYS else large.select("key")
     everyone = F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))"))
-    few = leaders.join(small.select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most BUCKET_ALL in a list
+    few = leaders.join(keys, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1")  # at most BUCKET_ALL in a list
     first = join_hot(leaders, large, ["key"], "size", large.agg(F.sum("size")).first()[0] or 0).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     pairs = few.select(everyone.alias("p")).select("p.*").unionByName(first).distinct()
     links = materialize(local.unionByName(verify(pairs, vectors, threshold)).distinct())
