@@ -18,8 +18,11 @@ all pairs of a group is ever built, yet no link between different texts is lost:
 * Set relations: in a long list every set is first compared with the list's first set and with its
   neighbours only.  A set that links takes over the answers of the set it links to: pairs inside a class
   that is already connected are not compared again, lists of one class are dropped, and only pairs
-  of different classes remain for the second round.  There a list is dealt as pairs of blocks, so no
-  task holds more than two blocks of it, and a parity sketch rejects pairs before they are emitted.
+  of different classes remain for later rounds.  There a list is dealt as pairs of blocks, so no task
+  holds more than two blocks of it, parity sketches reject pairs before they are emitted, and a set sends
+  its nearest candidates only.  What links joins classes; the others follow in further rounds, each with
+  more candidates a set, until no task holds one back.  So a large group emits rows in proportion to its
+  sets and its pairs are never all written.
 * Verification: the sketch bounds the symmetric difference from below and rejects most pairs; what is
   left is intersected exactly.
 
@@ -59,6 +62,10 @@ SHORT_LIST = 8
 NEIGHBOURS = 2
 #: Sets compared at a time in a long list, and sets in a block of one task.
 BLOCK, TASK_BLOCK = 256, 4096
+#: Candidates of a set that a task emits in the first of the later rounds, and the factor from round to round.
+NEAREST, NEAREST_STEP = 1, 8
+#: Candidate pairs that a task holds before it keeps the nearest only.
+KEPT_PAIRS = 2_000_000
 #: Candidate pairs whose sketches are compared at a time.
 SKETCH_PAIRS = 100_000
 #: The most parts of the inverted lists there may be.
@@ -306,8 +313,8 @@ def join_lists(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(join, ROWS_DDL)
 
 
-def sketches_meet(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Which of the candidate pairs (x[i], y[j]) their sketches leave open; sketches of one width are compared at a time."""
+def sketch_room(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """What the candidate pairs (x[i], y[j]) have left after their sketches' differences, below 0 where they cannot link; sketches of one width are compared at a time."""
     widths = [np.array([len(b) for b in side]) for side in (left, right)]
     tables = [{w: np.frombuffer(b"".join(b for b in side if len(b) == w), np.uint8).reshape(-1, w) for w in set(at.tolist())} for side, at in zip((left, right), widths, strict=True)]
     rows = [np.zeros(len(at), np.int64) for at in widths]
@@ -316,7 +323,7 @@ def sketches_meet(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, le
             row[at == w] = np.arange((at == w).sum())
     n, m = x["size"][i].astype(np.int64), y["size"][j].astype(np.int64)
     most = n + m - 2 * needed(n, m)
-    open_ = np.zeros(len(i), bool)
+    room = np.zeros(len(i), np.int64)
     for w in np.unique(widths[0][i]):
         for v in np.unique(widths[1][j]):
             both = np.flatnonzero((widths[0][i] == w) & (widths[1][j] == v))
@@ -325,18 +332,33 @@ def sketches_meet(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, le
                 some = both[at : at + SKETCH_PAIRS]
                 a, b = tables[0][w][rows[0][i[some]]], tables[1][v][rows[1][j[some]]]
                 a, b = (np.bitwise_xor.reduce(t.reshape(len(t), -1, least), axis=1) for t in (a, b))
-                open_[some] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most[some]
-    return open_
+                room[some] = most[some] - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return room
 
 
-def cross_pairs(lists: DataFrame, components: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(a, b): candidates of long lists between sets of different classes, those with the first set left out."""
+def nearest(found: np.ndarray, most: int) -> np.ndarray:
+    """Of rows (i, j, room), those that are among the ``most`` with the most room of either end."""
+    kept = np.zeros(len(found), bool)
+    for side, other in ((0, 1), (1, 0)):
+        order = np.lexsort((found[:, other], -found[:, 2], found[:, side]))
+        ends = found[order, side]
+        starts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        kept[order[rank < most]] = True
+    return found[kept]
+
+
+def cross_pairs(lists: DataFrame, components: DataFrame, profiles: DataFrame, most: int) -> DataFrame | None:
+    """(a, b): candidates of long lists between sets of different classes, those with the first set left out; None without any.
+
+    A task emits a set's ``most`` nearest candidates by their sketches; a row of nulls says that it held others back.
+    """
     placed = materialize(lists.select("part", F.col("b").alias("token"), F.col("a").alias("id"), "n").join(components, "id", "left").withColumn("component", F.coalesce("component", "id")))
     groups = placed.groupBy("part", "token").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min("component").alias("least"), F.max("component").alias("most"))
     groups = materialize(groups.filter("least < most").select("part", "token", "size", "first"))
     total = groups.agg(F.sum("size")).first()[0]
     if not total:
-        return placed.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return None
     mixed = join_hot(placed, groups, ["part", "token"], "size", total).filter("id <> first").withColumn("blocks", F.ceil(F.col("size") / TASK_BLOCK).cast("int"))
     mixed = mixed.join(profiles.select(F.col("a").alias("id"), F.col("blob").alias("sketch")), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = mixed.select("part", "token", "id", "n", "component", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -353,9 +375,14 @@ def cross_pairs(lists: DataFrame, components: DataFrame, profiles: DataFrame) ->
         order = np.lexsort((-entries["rest"].astype(np.int64), entries["size"]))
         entries, component, block = entries[order], component[order], block[order]
         sketch = group.column("sketch").combine_chunks().take(pa.array(order)).to_pylist()
-        out = []
+        out, size, held_back = [np.empty((0, 3), np.int64)], 0, False
         for s in range(0, len(entries), BLOCK):
             x = entries[s : s + BLOCK]
+            if size > KEPT_PAIRS:
+                every = np.concatenate(out)
+                out = [nearest(every, most)]
+                held_back |= len(out[0]) < len(every)
+                size = len(out[0])
             for t in range(s, len(entries), BLOCK):
                 y = entries[t : t + BLOCK]
                 if int(y["size"][0]) * LINK_LOW > int(x["size"][-1]) * LINK_TOP:
@@ -370,12 +397,16 @@ def cross_pairs(lists: DataFrame, components: DataFrame, profiles: DataFrame) ->
                 if s == t:
                     i, j = i[i < j], j[i < j]
                 if len(i):
-                    kept = sketches_meet(x, y, i, j, sketch[s : s + BLOCK], sketch[t : t + BLOCK])
-                    out.append(np.stack([x["node"][i[kept]], y["node"][j[kept]]], axis=1))
-        if not out:
-            return empty
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                    room = sketch_room(x, y, i, j, sketch[s : s + BLOCK], sketch[t : t + BLOCK])
+                    kept = room >= 0
+                    out.append(np.stack([i[kept] + s, j[kept] + t, room[kept]], axis=1))
+                    size += len(out[-1])
+        every = np.concatenate(out)
+        pairs = nearest(every, most)
+        held_back |= len(pairs) < len(every)
+        a, b = entries["node"][pairs[:, 0]], entries["node"][pairs[:, 1]]
+        last = [None] if held_back else []
+        return pa.table({"a": pa.array([*np.minimum(a, b).tolist(), *last], pa.int64()), "b": pa.array([*np.maximum(a, b).tolist(), *last], pa.int64())})
 
     return dealt.groupBy("part", "token", "p", "q").applyInArrow(cross, "a bigint, b bigint").distinct()
 
@@ -454,10 +485,16 @@ def classes_of(texts: DataFrame) -> DataFrame:
     pairs = joined.filter("kind = 'pair'").select("a", "b").distinct()
     links = materialize(same_id_links(placed.select("id", "mark"), nodes).unionByName(verify(pairs, profiles, carried, nodes)).distinct())
     components = materialize(connected_components(links))
-    more = cross_pairs(joined.filter("kind = 'list'"), components, profiles).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(more), profiles, carried, nodes))
-    if not more.isEmpty():
-        components = materialize(connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    lists, seen, most = joined.filter("kind = 'list'"), materialize(pairs), NEAREST
+    while (found := cross_pairs(lists, components, profiles, most)) is not None:  # ends when no task holds a pair back, at 2 * TASK_BLOCK at the latest
+        found = materialize(found)
+        fresh = materialize(found.filter("a IS NOT NULL").join(seen, ["a", "b"], "left_anti"))
+        links = materialize(verify(fresh, profiles, carried, nodes))
+        if not links.isEmpty():
+            components = materialize(connected_components(components.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)))
+        if found.filter("a IS NULL").isEmpty():
+            break
+        seen, most = seen.unionByName(fresh), most * NEAREST_STEP
     of_node = nodes.select("mark", "copies", "first", "node").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
     of_node = materialize(join_hot(of_node, least, ["component"], "size", nodes.count()).select("mark", "copies", "component_id"))

@@ -434,6 +434,8 @@ def test_long_lists_lose_no_pair_and_keep_to_their_filters(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "TASK_BLOCK", 7)
     monkeypatch.setattr(ngram_join, "NEIGHBOURS", 0)
+    monkeypatch.setattr(ngram_join, "NEAREST_STEP", 3)
+    monkeypatch.setattr(ngram_join, "KEPT_PAIRS", 5)
     texts = family_texts(120, 9)
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
     assert got == brute_classes(texts)
@@ -466,6 +468,16 @@ def test_a_hot_list_and_a_hot_copy_keep_to_small_tasks(spark, monkeypatch):
     assert got == brute_classes(texts)
 
 
+def test_nearest_candidates_are_linear_in_the_sets():
+    rng = np.random.default_rng(5)
+    pairs = np.array([(i, j, rng.integers(0, 50)) for i in range(60) for j in range(i)])
+    kept = ngram_join.nearest(pairs, 2)
+    assert len(kept) <= 4 * 60 and len(ngram_join.nearest(pairs, 60)) == len(pairs)
+    for end in range(60):
+        mine = pairs[(pairs[:, 0] == end) | (pairs[:, 1] == end)]
+        assert mine[:, 2].max() in kept[(kept[:, 0] == end) | (kept[:, 1] == end)][:, 2]
+
+
 def test_sketch_distance_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):
