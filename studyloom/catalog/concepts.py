@@ -49,13 +49,13 @@ def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_BASE}{_CONCEPTS}{_MENTIONS} SELECT doc_id, concept_id, sum(n)::BIGINT AS mentions, count(*) AS sentences FROM men GROUP BY doc_id, concept_id")
 def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
-    found = concepts.mentions(sentences(spark, d), phrase_concepts(spark, d), most=4)
+    found = concepts.mentions(sentences(spark, d), phrase_concepts(spark, d))
     return found.groupBy("doc_id", "concept_id").agg(F.sum("n").alias("mentions"), F.count("*").alias("sentences"))
 
 
 @query(f"{_BASE}{_CONCEPTS}{_MENTIONS} SELECT a.doc_id, a.concept_id, count(DISTINCT b.concept_id) AS degree FROM men a JOIN men b ON a.doc_id = b.doc_id AND a.ord = b.ord AND a.sent_ix = b.sent_ix AND a.concept_id <> b.concept_id GROUP BY ALL")
 def concept_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return concepts.cooccurrence(concepts.mentions(sentences(spark, d), phrase_concepts(spark, d), most=4))
+    return concepts.cooccurrence(concepts.mentions(sentences(spark, d), phrase_concepts(spark, d)))
 
 
 _W = "regexp_extract_all({t}, '[A-Za-z][A-Za-z0-9_''-]*')"
@@ -84,7 +84,7 @@ _SCORED = f""", norm AS (SELECT doc_id, concept_id, canonical, {', '.join(f'{_sc
 def concept_scores(spark: SparkSession, d: str) -> DataFrame:
     """Ten signals per concept, scaled within its document and weighed into difficulty, importance and budget."""
     s, c = sentences(spark, d), phrase_concepts(spark, d)
-    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c, most=4)))
+    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c)))
     return scored.select("doc_id", "concept_id", *(F.round(x, 6).alias(x) for x in ("difficulty", "importance", "budget")))
 
 
@@ -92,7 +92,7 @@ def concept_scores(spark: SparkSession, d: str) -> DataFrame:
 def ranked_concepts(spark: SparkSession, d: str) -> DataFrame:
     """The three concepts of every document with the largest budget (a top-k by definition)."""
     s, c = sentences(spark, d), phrase_concepts(spark, d)
-    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c, most=4))).withColumn("budget", F.round("budget", 9))
+    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c))).withColumn("budget", F.round("budget", 9))
     return concepts.ranked(scored, 3).select("doc_id", "concept_id", "rank")
 
 
@@ -146,14 +146,14 @@ _INFO = f"CASE WHEN {q.word_count('text')} = 0 THEN 0.0 ELSE 0.5 * least({q.word
 SELECT doc_id, concept_id, row_number() OVER (PARTITION BY doc_id, concept_id ORDER BY round(score, 9) DESC, ord, sent_ix)::INT AS rank, ord::INT AS ord, sent_ix::INT AS sent_ix, round(score, 6) AS score, definitional, causal FROM sup""")
 def support_rank(spark: SparkSession, d: str) -> DataFrame:
     s = sentences(spark, d)
-    ranked = concepts.supports(s, concepts.mentions(s, phrase_concepts(spark, d), most=4))
+    ranked = concepts.supports(s, concepts.mentions(s, phrase_concepts(spark, d)))
     return ranked.select("doc_id", "concept_id", "rank", "ord", "sent_ix", F.round("score", 6).alias("score"), "definitional", "causal")
 
 
 @query()
 def distinct_supports(spark: SparkSession, d: str) -> DataFrame:
     s = sentences(spark, d)
-    kept = concepts.distinct_supports(concepts.supports(s, concepts.mentions(s, phrase_concepts(spark, d), most=4)))
+    kept = concepts.distinct_supports(concepts.supports(s, concepts.mentions(s, phrase_concepts(spark, d))))
     return kept.groupBy("doc_id", "concept_id").agg(F.count("*").alias("kept"), F.max("rank").alias("last_rank"))
 
 
@@ -174,20 +174,20 @@ def norms_lookup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("phrase", F.round("mean", 9).alias("mean"))
 
 
-_FRESH = "SELECT doc_id, 'k' || (doc_id % 7) AS concept_id, lang AS canonical, (n_chars % 100) / 100.0::DOUBLE AS difficulty, (n_chars % 10) / 10.0::DOUBLE AS importance FROM documents WHERE doc_id % 3 <> 0"
-_PREV = "SELECT doc_id, 'k' || (doc_id % 7) AS concept_id, 'old' AS canonical, 0.5::DOUBLE AS difficulty, 0.5::DOUBLE AS importance, CASE WHEN quality = 1 THEN '0.9' END AS over FROM labels"
+_FRESH = "SELECT doc_id, 'k' || (doc_id % 7) AS concept_id, lang AS canonical, (n_chars % 100) / 100.0::DOUBLE AS difficulty, (n_chars % 10) / 10.0::DOUBLE AS importance FROM documents"
+_PREV = "SELECT doc_id, 'k' || ((doc_id + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) % 7) AS concept_id, 'old' AS canonical, 0.5::DOUBLE AS difficulty, 0.5::DOUBLE AS importance, CASE WHEN quality = 1 THEN '0.9' END AS over FROM labels"
 
 
 @query(f"""WITH n AS ({_FRESH}), o AS ({_PREV})
 SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.concept_id, o.concept_id) AS concept_id, coalesce(n.canonical, o.canonical) AS canonical, round(coalesce(over::DOUBLE, n.difficulty, o.difficulty), 6) AS difficulty, round(coalesce(n.importance, o.importance), 6) AS importance, n.canonical IS NULL AS orphan
 FROM n FULL OUTER JOIN o ON n.doc_id = o.doc_id AND n.concept_id = o.concept_id WHERE n.canonical IS NOT NULL OR over IS NOT NULL""")
 def registry_merge(spark: SparkSession, d: str) -> DataFrame:
-    """A fresh registry over an edited one: overrides win, edited orphans stay (documents against labels)."""
-    docs = table(spark, d, "documents").filter("doc_id % 3 <> 0")
+    """A fresh registry over an edited one: overrides win, edited orphans stay (documents against labels, some under another concept)."""
+    docs = table(spark, d, "documents")
     key = F.concat(F.lit("k"), (F.col("doc_id") % 7).cast("string"))
     fresh = docs.select("doc_id", key.alias("concept_id"), F.col("lang").alias("canonical"), (F.col("n_chars") % 100 / 100.0).alias("difficulty"), (F.col("n_chars") % 10 / 10.0).alias("importance"))
     over = F.when(F.col("quality") == 1, F.create_map(F.lit("difficulty"), F.lit("0.9"))).otherwise(F.create_map().cast("map<string,string>"))
-    previous = table(spark, d, "labels").select("doc_id", key.alias("concept_id"), F.lit("old").alias("canonical"), F.lit(0.5).alias("difficulty"), F.lit(0.5).alias("importance"), over.alias("overrides"))
+    previous = table(spark, d, "labels").select("doc_id", F.concat(F.lit("k"), ((F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)) % 7).cast("string")).alias("concept_id"), F.lit("old").alias("canonical"), F.lit(0.5).alias("difficulty"), F.lit(0.5).alias("importance"), over.alias("overrides"))
     out = concepts.merge_registry(fresh, previous)
     return out.select("doc_id", "concept_id", "canonical", F.round("difficulty", 6).alias("difficulty"), F.round("importance", 6).alias("importance"), "orphan")
 

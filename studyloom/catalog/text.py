@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from studyloom.catalog import sql as q
 from studyloom.functions import spoken, text
 from studyloom.operators import clean, grounding, lint_text, triage
-from studyloom.session import spread, table
+from studyloom.session import table
 from studyloom.schema import block_id
 from studyloom.sources import adapters, layout
 
@@ -27,7 +27,8 @@ def query(oracle: str | None = None):  # noqa: ANN201
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return clean.line_blocks(spread(table(spark, d, "documents").select("doc_id", "text")))
+    """The blocks of all documents; dealt by document, as every pass that orders or groups a document's blocks needs them."""
+    return clean.line_blocks(table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"))
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +231,7 @@ def unit_words(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def verbalize_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document in speakable text; superscript citations only where the document shows the style."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("raised", spoken.raised_count(F.col("text")) >= 10)
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("raised", F.coalesce(spoken.raised_count(F.when(F.col("text").rlike("[0-9]"), F.col("text"))), F.lit(0)) >= 10)
     said = docs.select("doc_id", spoken.speaker()(F.col("text"), F.col("raised")).alias("said"))
     return said.select("doc_id", F.length("said").alias("n_chars"), text.word_count("said").alias("n_words"), F.round(text.seconds_for("said"), 3).alias("seconds"))
 

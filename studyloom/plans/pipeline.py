@@ -42,7 +42,6 @@ def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener
     found = concepts.candidates(sentences).persist()
     mentions = concepts.mentions(sentences, found).persist()
     scored = concepts.score(concepts.raw_signals(sentences, found, mentions), listener).join(found.select("doc_id", "concept_id", "short_def", "first_ord"), ["doc_id", "concept_id"])
-    scored = concepts.ranked(scored, 60).drop("rank")
     here = mentions.join(scored.select("doc_id", "concept_id"), ["doc_id", "concept_id"]).groupBy("doc_id", "ord", "sent_ix").agg(F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
     rows = placed.join(here, ["doc_id", "ord", "sent_ix"], "left").select(
         "doc_id", "title", F.concat(F.lit("s_"), F.coalesce(F.col("section").cast("string"), F.lit("0"))).alias("section_id"), F.coalesce("section_title", F.lit("the text")).alias("section_title"), "ord", "sent_ix", "char_start", "char_end", "text", F.coalesce("concept_ids", F.array().cast("array<string>")).alias("concept_ids")

@@ -22,9 +22,3 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame, small_bytes: int = 1 << 30) -> DataFrame:
-    """A small table that lies in one row group is dealt over all cores; larger ones stay as they are read."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small_bytes else df
