@@ -42,6 +42,11 @@ def phrase_concepts(spark: SparkSession, d: str) -> DataFrame:
     return rep.select("doc_id", concept_id(F.col("phrase")).alias("concept_id"), F.col("phrase").alias("canonical"), F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("short_def"))
 
 
+def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences and concepts, kept (memory, then disk) because every signal reads them again."""
+    return sentences(spark, d).persist(), phrase_concepts(spark, d).persist()
+
+
 @query(f"{_BASE} SELECT * FROM rep")
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     return concepts.repeated_phrases(sentences(spark, d))
@@ -83,16 +88,16 @@ _SCORED = f""", norm AS (SELECT doc_id, concept_id, canonical, {', '.join(f'{_sc
 @query(f"{_BASE}{_CONCEPTS}{_MENTIONS}{_RAW}{_SCORED} SELECT doc_id, concept_id, round(difficulty, 6) AS difficulty, round(importance, 6) AS importance, round(difficulty * importance, 6) AS budget FROM sc")
 def concept_scores(spark: SparkSession, d: str) -> DataFrame:
     """Ten signals per concept, scaled within its document and weighed into difficulty, importance and budget."""
-    s, c = sentences(spark, d), phrase_concepts(spark, d)
-    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c)))
+    s, c = _corpus(spark, d)
+    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c).persist()))
     return scored.select("doc_id", "concept_id", *(F.round(x, 6).alias(x) for x in ("difficulty", "importance", "budget")))
 
 
 @query(f"{_BASE}{_CONCEPTS}{_MENTIONS}{_RAW}{_SCORED} SELECT doc_id, concept_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(difficulty * importance, 9) DESC, canonical) AS rank FROM sc) WHERE rank <= 3")
 def ranked_concepts(spark: SparkSession, d: str) -> DataFrame:
     """The three concepts of every document with the largest budget (a top-k by definition)."""
-    s, c = sentences(spark, d), phrase_concepts(spark, d)
-    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c))).withColumn("budget", F.round("budget", 9))
+    s, c = _corpus(spark, d)
+    scored = concepts.score(concepts.raw_signals(s, c, concepts.mentions(s, c).persist())).withColumn("budget", F.round("budget", 9))
     return concepts.ranked(scored, 3).select("doc_id", "concept_id", "rank")
 
 

@@ -231,7 +231,7 @@ def unit_words(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def verbalize_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document in speakable text; superscript citations only where the document shows the style."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("raised", F.coalesce(spoken.raised_count(F.when(F.col("text").rlike("[0-9]"), F.col("text"))), F.lit(0)) >= 10)
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id").withColumn("raised", F.coalesce(spoken.raised_count(F.when(F.col("text").rlike("[0-9]"), F.col("text"))), F.lit(0)) >= 10)
     said = docs.select("doc_id", spoken.speaker()(F.col("text"), F.col("raised")).alias("said"))
     return said.select("doc_id", F.length("said").alias("n_chars"), text.word_count("said").alias("n_words"), F.round(text.seconds_for("said"), 3).alias("seconds"))
 
