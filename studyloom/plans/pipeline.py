@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from studyloom.config import Listener, Profile
 from studyloom.operators import clean, concepts, triage
 from studyloom.plans import planner
+from studyloom.session import settle
 
 
 @dataclass
 class Build:
-    """Tables of one build; all lazy."""
+    """Tables of one build; beats and cards read the plans, which are laid out once and written down."""
 
     blocks: DataFrame
     sentences: DataFrame
@@ -27,8 +28,8 @@ class Build:
 def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener | None = None, cleaned: bool = False) -> Build:
     """Programmes for every document of ``blocks`` (as the sources return them).
 
-    Sentences, candidates, mentions and plans feed many branches and are kept (memory, then disk; a lost
-    part is computed again from its lineage).
+    Sentences, concepts, mentions and plans feed many branches and are written down once each.  A concept
+    without a definition of its own takes the first that its document states.
     """
     profile, listener = profile or Profile(), listener or Listener()
     judged = triage.triage(blocks if cleaned else clean.clean(blocks))
@@ -37,15 +38,20 @@ def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener
     kept = triage.retained(judged).filter("role <> 'title'")
     heads = judged.filter("kind = 'heading'").select("doc_id", F.col("ord").alias("section"), F.col("text").alias("section_title"))
     titles = judged.filter("role = 'title'").groupBy("doc_id").agg(F.min_by("text", "ord").alias("title"))
-    sentences = clean.split_sentences(kept.filter("kind <> 'heading'")).persist()
+    sentences = settle(clean.split_sentences(kept.filter("kind <> 'heading'")))
     placed = sentences.join(kept.select("doc_id", "ord", "section"), ["doc_id", "ord"]).join(heads, ["doc_id", "section"], "left").join(titles, "doc_id", "left")
-    found = concepts.candidates(sentences).persist()
-    mentions = concepts.mentions(sentences, found).persist()
-    scored = concepts.score(concepts.raw_signals(sentences, found, mentions), listener).join(found.select("doc_id", "concept_id", "short_def", "first_ord"), ["doc_id", "concept_id"])
+    named = settle(concepts.candidates(sentences))
+    mentions = settle(concepts.mentions(sentences, named))
+    stated = concepts.find_definitions(sentences, named.filter("short_def IS NULL").select("doc_id", F.col("canonical").alias("term")))
+    stated = stated.join(sentences.select("doc_id", "ord", "sent_ix", "char_start", "char_end"), ["doc_id", "ord", "sent_ix"])
+    place = F.struct("ord", "char_start", "char_end").alias("def_at")
+    glossed = named.select("doc_id", "concept_id", "canonical", "short_def", "first_ord").join(stated.select("doc_id", F.col("term").alias("canonical"), "definition", place), ["doc_id", "canonical"], "left")
+    glossed = glossed.select("doc_id", "concept_id", F.coalesce("short_def", "definition").alias("short_def"), "def_at", "first_ord")
+    scored = settle(concepts.score(concepts.raw_signals(sentences, named, mentions), listener).join(glossed, ["doc_id", "concept_id"]))
     here = mentions.join(scored.select("doc_id", "concept_id"), ["doc_id", "concept_id"]).groupBy("doc_id", "ord", "sent_ix").agg(F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
     rows = placed.join(here, ["doc_id", "ord", "sent_ix"], "left").select(
         "doc_id", "title", F.concat(F.lit("s_"), F.coalesce(F.col("section").cast("string"), F.lit("0"))).alias("section_id"), F.coalesce("section_title", F.lit("the text")).alias("section_title"), "ord", "sent_ix", "char_start", "char_end", "text", F.coalesce("concept_ids", F.array().cast("array<string>")).alias("concept_ids")
     )
     ranked = concepts.distinct_supports(concepts.supports(sentences, mentions)).join(sentences.select("doc_id", "ord", "sent_ix", "char_start", "char_end"), ["doc_id", "ord", "sent_ix"])
-    plans = planner.plan_rows(rows, scored, ranked, profile, listener.lexicon).persist()
+    plans = settle(planner.plan_rows(rows, scored, ranked, profile, listener.lexicon))
     return Build(judged, rows, scored, ranked, planner.beats_of(plans), planner.cards_of(plans))

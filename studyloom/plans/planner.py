@@ -64,6 +64,10 @@ class Beat:
         return self.seconds + self.pause
 
 
+def length(beats: list[Beat]) -> float:
+    return sum(b.total for b in beats)
+
+
 @dataclass
 class Card:
     id: str
@@ -110,6 +114,11 @@ class Plan:
     def name(self, concept: str) -> str:
         return self.concepts[concept]["canonical"]
 
+    def stated(self, concept: str) -> tuple[int, int, int] | None:
+        """Where the document states what a concept means."""
+        at = self.concepts[concept].get("def_at")
+        return (at["ord"], at["char_start"], at["char_end"]) if at else None
+
     def exposition(self, rows: list[dict]) -> list[Beat]:
         """The source's sentences, gathered until a beat is long enough, never across blocks."""
         out: list[Beat] = []
@@ -190,7 +199,7 @@ class Plan:
             fresh = [c for c in present if c not in self.met]
             card = self.section_card(rows, fresh, present, section, titles[section])
             run = [self.beat("position", f"Part {k + 1} of {len(groups)}. {titles[section]}.", pause=self.p.section_pause)]
-            run += [self.beat("gloss", f"{self.name(c)}, in short. {self.concepts[c]['short_def']}", concepts=[c], generated=False, written=self.concepts[c]["short_def"], spans=[(rows[0]["ord"], rows[0]["char_start"], rows[0]["char_end"])]) for c in fresh if self.concepts[c].get("short_def")]
+            run += [self.beat("gloss", f"{self.name(c)}, in short. {self.concepts[c]['short_def']}", concepts=[c], generated=False, written=self.concepts[c]["short_def"], spans=[self.stated(c) or (rows[0]["ord"], rows[0]["char_start"], rows[0]["char_end"])]) for c in fresh if self.concepts[c].get("short_def")]
             run += self.exposition(rows)
             segments = self.segments(run, titles[section])
             self.emphasize(segments)
@@ -205,6 +214,7 @@ class Plan:
         self.asked = sorted(self.cards, key=lambda c: (-self.concepts.get(c.concept or "", {}).get("budget", 0.0), c.id))[: max(2, min(self.p.max_prequestions, 4))]
         self.close_questions()
         self.callbacks()
+        self.resize()
         self.review = self.make_review()
         self.opening = self.make_opening(sentences)
         self.fit()
@@ -229,14 +239,50 @@ class Plan:
         seen: set[str] = set()
         for here, after in zip(out, out[1:], strict=False):
             seen |= {c for b in here for c in b.concepts}
-            ahead = [c for b in after[:3] for c in b.concepts if c not in self.announced]
-            pick = next((c for c in ahead if c not in seen), ahead[0] if ahead else None)
-            if pick:
-                self.announced.add(pick)
-            text = f"Still on {plain_title(title)}." if pick is None else f"Next, {self.name(pick)}." if pick not in seen else f"More on {self.name(pick)}."
-            here.append(self.beat("transition", text, pause=self.p.segment_pause, concepts=[pick] if pick else []))
+            here.append(self.bridge(seen, after, title))
         return out
 
+    def bridge(self, seen: set[str], after: list[Beat], title: str) -> Beat:
+        """A transition that says what the beats after it are about."""
+        ahead = [c for b in after[:3] for c in b.concepts if c not in self.announced]
+        pick = next((c for c in ahead if c not in seen), ahead[0] if ahead else None)
+        if pick:
+            self.announced.add(pick)
+        text = f"Still on {plain_title(title)}." if pick is None else f"Next, {self.name(pick)}." if pick not in seen else f"More on {self.name(pick)}."
+        return self.beat("transition", text, pause=self.p.segment_pause, concepts=[pick] if pick else [])
+
+    def resize(self) -> None:
+        """Segments of the wanted length once everything is in them: short ones join the next, over-long ones are cut."""
+        known: set[str] = set()
+
+        def fresh(beats: list[Beat]) -> set[str]:
+            return {c for b in beats if b.type in TEACHING_TYPES for c in b.concepts} - known
+
+        for place, (section, title, segments) in enumerate(self.sections):
+            joined: list[list[Beat]] = []
+            for seg in segments:
+                if joined and length(joined[-1]) < self.p.segment_min and length(joined[-1]) + length(seg) <= self.p.segment_hard_max and len(fresh(joined[-1] + seg)) <= max(self.p.max_new_terms, len(fresh(seg))):
+                    joined[-1] = [b for b in joined[-1] if b.type != "transition"] + seg
+                else:
+                    known |= fresh(joined[-1]) if joined else set()
+                    joined.append(seg)
+            known |= fresh(joined[-1])
+            self.sections[place] = (section, title, [part for seg in joined for part in self.cut(seg, title)])
+
+    def cut(self, rest: list[Beat], title: str) -> list[list[Beat]]:
+        """Parts under the hard maximum where a boundary allows it: an answer stays with its prompt, an announcement with what it
+        announces, and no part starts with words that lean on what was said."""
+        out = []
+        while length(rest) > self.p.segment_hard_max:
+            bound = lambda k: rest[k].type in ("answer", "prequestion_close", "transition") or rest[k - 1].type in ("position", "emphasis") or leans(rest[k].text)  # noqa: E731, B023
+            places = [k for k in range(1, len(rest)) if not bound(k)]
+            if not places:
+                break
+            at = max((k for k in places if length(rest[:k]) <= self.p.segment_max), default=places[0])
+            before, rest = rest[:at], rest[at:]
+            out.append([*before, self.bridge({c for b in before for c in b.concepts}, rest, title)])
+        return [*out, rest]
+
     def emphasize(self, segments: list[list[Beat]]) -> None:
         places = [(self.concepts[c]["importance"], -s, -k, c) for s, seg in enumerate(segments) for k, b in enumerate(seg) if b.type == "exposition" for c in b.concepts]
         if places and self.p.emphasis_per_section:
@@ -316,7 +362,7 @@ class Plan:
         terms = [c for c in self.concepts.values() if c.get("short_def")][: self.p.max_preload]
         if terms:
             out.append(self.beat("preload", f"First, {COUNTS[len(terms)]} word{'s' if len(terms) > 1 else ''} you'll need."))
-            out += [self.beat("preload", f"{c['canonical']}. {c['short_def']}", concepts=[c["concept_id"]]) for c in sorted(terms, key=lambda c: (c.get("first_ord", 0), c["canonical"]))]
+            out += [self.beat("preload", f"{c['canonical']}. {c['short_def']}", concepts=[c["concept_id"]], spans=[at] if (at := self.stated(c["concept_id"])) else []) for c in sorted(terms, key=lambda c: (c.get("first_ord", 0), c["canonical"]))]
         return out
 
     def fit(self) -> None:
@@ -355,7 +401,7 @@ def plan_rows(sentences: DataFrame, concepts: DataFrame, supports: DataFrame, pr
     """(doc_id, beats, cards): the plan of every document, laid out once.
 
     ``sentences``: doc_id, title, section_id, section_title, ord, sent_ix, char_start, char_end, text, concept_ids.
-    ``concepts``: doc_id, concept_id, canonical, short_def, difficulty, importance, budget, first_ord.
+    ``concepts``: doc_id, concept_id, canonical, short_def, difficulty, importance, budget, first_ord, and def_at (ord, char_start, char_end) of the definition where one is stated.
     ``supports``: doc_id, concept_id, rank, ord, sent_ix, char_start, char_end, text, definitional, causal.
     """
     profile = profile or Profile()

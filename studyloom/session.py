@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +26,20 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a checkpoint in the cluster's shared folder; a folder of our own only where none is set (local tests).
+
+    What follows then plans against a plain scan, however many branches read it.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            shared = tempfile.mkdtemp(prefix="studyloom-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
+    return df.checkpoint()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from studyloom.config import Profile
 from studyloom.operators import clean, concepts, evaluate, exposure, grounding, lint_script, lint_text, triage
-from studyloom.plans.planner import Plan
+from studyloom.plans.planner import Beat, Plan
 from studyloom.schema import BLOCKS
 from studyloom.sources import adapters, artefacts, layout
 from studyloom.streaming import review
@@ -215,3 +215,38 @@ def test_a_ledger_sums_by_pieces_of_the_run(spark, monkeypatch):
     pieces = out.select("spent", F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("spent").alias("n"), F.max("spent")).collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert out.columns == [*frame.columns, "cost", "spent", "allowed"] and max(r["n"] for r in pieces) < len(rows)
+
+
+def test_segments_are_resized_once_everything_is_in_them():
+    profile = Profile(min_gap_seconds=30.0, segment_min=20.0, segment_max=30.0, segment_hard_max=40.0)
+    p = plan(profile)
+    said = [b.written for _, _, segments in p.sections for seg in segments for b in seg if b.type == "exposition"]
+    assert sorted(" ".join(said).split()) == sorted(" ".join(SENTENCES).split())  # nothing is lost
+    for _, _, segments in p.sections:
+        for seg in segments:
+            assert all(seg[k + 1].type == "answer" for k, b in enumerate(seg) if b.type == "prompt")
+        for seg, after in zip(segments, segments[1:], strict=False):
+            assert seg[-1].type == "transition" and after[0].type not in ("answer", "prequestion_close", "transition")
+
+
+def test_long_segments_are_cut_at_allowed_places():
+    p = plan()
+    p.p = Profile(segment_min=1.0, segment_max=20.0, segment_hard_max=25.0)
+    say = lambda kind, seconds, text="Text.": Beat(kind, text, seconds)
+    beats = [say("position", 2), say("exposition", 12), say("exposition", 12), say("prompt", 5), say("answer", 5), say("recap", 4)]
+    parts = p.cut(beats, "Part")
+    assert [[b.type for b in part] for part in parts] == [["position", "exposition", "transition"], ["exposition", "transition"], ["prompt", "answer", "recap"]] or [[b.type for b in part] for part in parts] == [["position", "exposition", "transition"], ["exposition", "prompt", "answer", "transition"], ["recap"]]
+    assert p.cut([say("prompt", 30), say("answer", 30)], "Part")[0][0].type == "prompt"  # no allowed place: left whole
+    assert len(p.cut([say("prompt", 30), say("answer", 30)], "Part")) == 1
+
+
+def test_a_build_attaches_the_definition_a_document_states(spark):
+    from studyloom.plans.pipeline import build
+
+    text = "Spectral drift is defined as the slow change of a baseline signal.\n" + "\n".join(f"We saw spectral drift again in the {n} run because the lamp was warm." for n in ("early", "later", "final", "longest"))
+    blocks = clean.line_blocks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))
+    b = build(blocks, cleaned=True)
+    row = b.concepts.filter("lower(canonical) = 'spectral drift'").collect()[0]
+    assert row.short_def == "the slow change of a baseline signal" and row.def_at.char_start == 0
+    glosses = b.beats.filter("type = 'gloss'").collect()
+    assert any("slow change" in g.text and g.spans[0].block == row.def_at.ord for g in glosses)
