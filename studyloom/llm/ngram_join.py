@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -54,6 +55,8 @@ LINK_TOP, LINK_LOW = 100, 75
 FREQUENT_LEAST = 16
 #: Bytes of text in one group, whose shingles are dealt out and flagged together, and for one part of the inverted lists.
 GROUP_BYTES, PART_BYTES = 8 << 20, 2 << 20
+#: Texts travel as zstd frames of this level: shuffles and tables pack the bytes of one text less well.
+PACK_LEVEL = 1
 #: Marks that a task remembers to send each text once.
 MARKS_HELD = 1_000_000
 #: Lists up to this length pair all their sets at once.
@@ -147,17 +150,18 @@ def ordered_sets(group: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
     for mark, text in zip(group.column("mark").to_pylist(), group.column("text").to_pylist(), strict=True):
         if text is not None:
             texts.setdefault(mark, text)
-    marks = sorted(texts)
-    return marks, [shingle_set(texts[m]) for m in marks]
+    marks, unpack = sorted(texts), zstandard.ZstdDecompressor().decompress
+    return marks, [shingle_set(unpack(texts[m])) for m in marks]
 
 
 def profiled(texts: DataFrame) -> DataFrame:
-    """(id, n, mark, text) of every row of (id, text); the text rides along where its set is the task's first of that mark."""
+    """(id, n, mark, text, bytes) of every row of (id, text); the text rides along, packed, where its set is the task's first of that mark."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
+        pack = zstandard.ZstdCompressor(level=PACK_LEVEL).compress
         for batch in batches:
-            sizes, marks, carried = [], [], []
+            sizes, marks, carried, lengths = [], [], [], []
             ids = batch.column(0).to_pylist()
             for doc, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 found = shingle_set(text)
@@ -167,14 +171,15 @@ def profiled(texts: DataFrame) -> DataFrame:
                     known.add(mark)
                 sizes.append(len(found))
                 marks.append(mark)
-                carried.append(text if fresh else None)
+                carried.append(pack(text) if fresh else None)
+                lengths.append(len(text) if fresh else 0)
             if len(known) > MARKS_HELD:
                 known = set()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(carried, pa.binary())], names=["id", "n", "mark", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(carried, pa.binary()), pa.array(lengths, pa.int64())], names=["id", "n", "mark", "text", "bytes"])
         known = set()
         release_memory()
 
-    return texts.mapInArrow(profile, "id bigint, n bigint, mark binary, text binary")
+    return texts.mapInArrow(profile, "id bigint, n bigint, mark binary, text binary, bytes bigint")
 
 
 def frequent_flags(carried: DataFrame, parts: int) -> DataFrame:
@@ -430,8 +435,9 @@ def verify(pairs: DataFrame, profiles: DataFrame, carried: DataFrame, nodes: Dat
     few = wanted.count() <= BROADCAST_IDS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(unpack(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "held"])
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,7 +479,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def classes_of(texts: DataFrame) -> DataFrame:
     rows = materialize(profiled(texts))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
     groups, parts = max(16, total // GROUP_BYTES), min(MOST_PARTS, max(64, total // PART_BYTES))
     placed = rows.filter("id IS NOT NULL AND n > 0").withColumn("grp", F.pmod(F.xxhash64("mark"), F.lit(groups)).cast("int"))
     nodes = placed.groupBy("mark", "grp").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min(F.when(F.col("text").isNotNull(), F.col("id"))).alias("tid"))
