@@ -250,3 +250,17 @@ def test_a_build_attaches_the_definition_a_document_states(spark):
     assert row.short_def == "the slow change of a baseline signal" and row.def_at.char_start == 0
     glosses = b.beats.filter("type = 'gloss'").collect()
     assert any("slow change" in g.text and g.spans[0].block == row.def_at.ord for g in glosses)
+
+
+def test_candidates_repeat_the_steps_of_phrases_without_a_join(spark):
+    words = "cell wall stress and the fast battery loss state of charge copyright notice a x ray Cell Wall".split()
+    texts = [(d, "\n".join(" ".join(words[(d * 7 + i * k + i * i) % len(words)] for i in range(90)) + ". Cell wall stress, cell Wall stress; Fast battery loss." for k in range(1, 6))) for d in range(12)]
+    rows = [*texts, (12, None), (13, ""), (14, "\u212aelvin scale. " * 5 + "kelvin scale."), (None, "cell wall " * 9)]
+    blocks = clean.line_blocks(spark.createDataFrame(rows, "doc_id long, text string"))
+    s = blocks.select("doc_id", "ord", F.posexplode(F.split("text", r"\. ")).alias("sent_ix", "text"))
+    kept = concepts.drop_redundant(concepts.repeated_phrases(s))
+    homes = concepts.phrase_hits(s, kept.select("doc_id", "phrase", F.col("phrase").alias("item"))).groupBy("doc_id", F.col("item").alias("phrase")).agg(F.min("ord").alias("ord"))
+    stepwise = kept.join(homes, ["doc_id", "phrase"]).join(concepts.surface_forms(s, kept), ["doc_id", "phrase"])
+    got = {tuple(r) for r in concepts.repetitions(s).collect()}
+    assert got == {(r.doc_id, r.phrase, r.mentions, r.ord, r.canonical) for r in stepwise.collect()} and len(got) > 20
+    assert "Join" not in concepts.candidates(s)._jdf.queryExecution().executedPlan().toString()  # joins of all n-grams filled the disk
