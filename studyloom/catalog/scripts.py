@@ -253,26 +253,26 @@ def lint_artefact_coh_01(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- whole builds
 
 
-def _build(spark: SparkSession, d: str):  # noqa: ANN202
-    return build(lines(spark, d), cleaned=True)
+def _build(spark: SparkSession, d: str, *only: str, keep: bool = False):  # noqa: ANN202
+    return build(lines(spark, d), cleaned=True, only=only, keep=keep)
 
 
 @query()
 def plan_documents(spark: SparkSession, d: str) -> DataFrame:
     """Programmes of all documents: beats and planned seconds by type."""
-    beats = _build(spark, d).beats
+    beats = _build(spark, d, "beats").beats
     return beats.groupBy("doc_id", "region", "type").agg(F.count("*").alias("beats"), F.round(F.sum("est_seconds"), 3).alias("seconds"), F.count_if("cut").alias("cut"))
 
 
 @query()
 def plan_cards(spark: SparkSession, d: str) -> DataFrame:
-    return _build(spark, d).cards.groupBy("doc_id", "prompt_type").agg(F.count("*").alias("cards"))
+    return _build(spark, d, "cards").cards.groupBy("doc_id", "prompt_type").agg(F.count("*").alias("cards"))
 
 
 @query()
 def build_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The metrics of every document's build."""
-    b = _build(spark, d)
+    b = _build(spark, d, "concepts", "beats", "cards", keep=True)
     live = b.beats.filter("NOT cut")
     found, skipped = lint_script.lint_script(live, Profile(), cards=b.cards)
     return evaluate.measure(b.blocks, b.beats, b.cards, b.concepts, found, rules_checked=len(lint_script.SCRIPT_RULES) - len(skipped), rules_skipped=len(skipped))

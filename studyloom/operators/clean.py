@@ -427,11 +427,11 @@ def spans_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def split_sentences(blocks: DataFrame) -> DataFrame:
-    """(doc_id, ord, sent_ix, char_start, char_end, text, kind, role) of prose blocks."""
+def split_sentences(blocks: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, ord, sent_ix, char_start, char_end, text, kind, role) of prose blocks, and the columns ``also`` of their block."""
     prose = blocks.filter(~F.col("kind").isin("code", "equation", "page_artifact") & (F.trim("text") != ""))
-    spans = prose.withColumn("spans", sentence_spans("text")).select("doc_id", "ord", "kind", "role", F.col("text").alias("block_text"), F.posexplode("spans").alias("sent_ix", "span"))
-    return spans.select("doc_id", "ord", "sent_ix", "span.char_start", "span.char_end", F.expr("substring(block_text, span.char_start + 1, span.char_end - span.char_start)").alias("text"), "kind", "role")
+    spans = prose.withColumn("spans", sentence_spans("text")).select("doc_id", "ord", "kind", "role", *also, F.col("text").alias("block_text"), F.posexplode("spans").alias("sent_ix", "span"))
+    return spans.select("doc_id", "ord", "sent_ix", "span.char_start", "span.char_end", F.expr("substring(block_text, span.char_start + 1, span.char_end - span.char_start)").alias("text"), "kind", "role", *also)
 
 
 def clean(blocks: DataFrame) -> DataFrame:

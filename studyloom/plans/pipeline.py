@@ -2,56 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.config import Listener, Profile
-from studyloom.operators import clean, concepts, triage
-from studyloom.plans import planner
-from studyloom.session import settle
+from studyloom.operators import clean, triage
+from studyloom.plans import document, planner
+from studyloom.session import written
+
+_PLACE = "struct<ord:int,char_start:int,char_end:int>"
+#: The tables of a build, as arrays of a document's row.
+PARTS = {
+    "sentences": "array<struct<section_id:string,section_title:string,ord:int,sent_ix:int,char_start:int,char_end:int,text:string,concept_ids:array<string>>>",
+    "concepts": f"array<struct<concept_id:string,canonical:string,difficulty:double,importance:double,budget:double,signals:map<string,double>,short_def:string,def_at:{_PLACE},first_ord:int>>",
+    "supports": "array<struct<concept_id:string,rank:int,ord:int,sent_ix:int,text:string,score:double,definitional:boolean,causal:boolean,char_start:int,char_end:int>>",
+    "beats": planner.as_array(planner.PLAN_BEATS),
+    "cards": planner.as_array(planner.PLAN_CARDS),
+}
+#: Documents in one Arrow batch of results.
+RESULT_ROWS = 64
 
 
 @dataclass
 class Build:
-    """Tables of one build; beats and cards read the plans, which are laid out once and written down."""
+    """Tables of one build; those that were not asked for are missing."""
 
     blocks: DataFrame
-    sentences: DataFrame
-    concepts: DataFrame
-    supports: DataFrame
-    beats: DataFrame
-    cards: DataFrame
+    sentences: DataFrame | None = None
+    concepts: DataFrame | None = None
+    supports: DataFrame | None = None
+    beats: DataFrame | None = None
+    cards: DataFrame | None = None
 
 
-def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener | None = None, cleaned: bool = False) -> Build:
+def build(blocks: DataFrame, profile: Profile | None = None, listener: Listener | None = None, cleaned: bool = False, only: tuple[str, ...] = tuple(PARTS), keep: bool = True) -> Build:
     """Programmes for every document of ``blocks`` (as the sources return them).
 
-    Sentences, concepts, mentions and plans feed many branches and are written down once each.  A concept
-    without a definition of its own takes the first that its document states.
+    A document's sentences are gathered once and go from concepts to the plan in one row; a concept without a
+    definition of its own takes the first that its document states.  The tables in ``only`` are made and, with
+    ``keep``, written down once for all that read them; a caller that reads one table once needs no ``keep``.
     """
-    profile, listener = profile or Profile(), listener or Listener()
     judged = triage.triage(blocks if cleaned else clean.clean(blocks))
     if "section" not in judged.columns:
         judged = judged.withColumn("section", F.lit(None).cast("int"))
-    kept = triage.retained(judged).filter("role <> 'title'")
-    heads = judged.filter("kind = 'heading'").select("doc_id", F.col("ord").alias("section"), F.col("text").alias("section_title"))
+    kept = triage.retained(judged).filter("role <> 'title' AND kind <> 'heading'")
+    heads = judged.filter("kind = 'heading'").groupBy("doc_id").agg(F.collect_list(F.struct("ord", "text")).alias("heads"))
     titles = judged.filter("role = 'title'").groupBy("doc_id").agg(F.min_by("text", "ord").alias("title"))
-    sentences = settle(clean.split_sentences(kept.filter("kind <> 'heading'")))
-    placed = sentences.join(kept.select("doc_id", "ord", "section"), ["doc_id", "ord"]).join(heads, ["doc_id", "section"], "left").join(titles, "doc_id", "left")
-    named = settle(concepts.candidates(sentences))
-    mentions = settle(concepts.mentions(sentences, named))
-    stated = concepts.find_definitions(sentences, named.filter("short_def IS NULL").select("doc_id", F.col("canonical").alias("term")))
-    stated = stated.join(sentences.select("doc_id", "ord", "sent_ix", "char_start", "char_end"), ["doc_id", "ord", "sent_ix"])
-    place = F.struct("ord", "char_start", "char_end").alias("def_at")
-    glossed = named.select("doc_id", "concept_id", "canonical", "short_def", "first_ord").join(stated.select("doc_id", F.col("term").alias("canonical"), "definition", place), ["doc_id", "canonical"], "left")
-    glossed = glossed.select("doc_id", "concept_id", F.coalesce("short_def", "definition").alias("short_def"), "def_at", "first_ord")
-    scored = settle(concepts.score(concepts.raw_signals(sentences, named, mentions), listener).join(glossed, ["doc_id", "concept_id"]))
-    here = mentions.join(scored.select("doc_id", "concept_id"), ["doc_id", "concept_id"]).groupBy("doc_id", "ord", "sent_ix").agg(F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
-    rows = placed.join(here, ["doc_id", "ord", "sent_ix"], "left").select(
-        "doc_id", "title", F.concat(F.lit("s_"), F.coalesce(F.col("section").cast("string"), F.lit("0"))).alias("section_id"), F.coalesce("section_title", F.lit("the text")).alias("section_title"), "ord", "sent_ix", "char_start", "char_end", "text", F.coalesce("concept_ids", F.array().cast("array<string>")).alias("concept_ids")
-    )
-    ranked = concepts.distinct_supports(concepts.supports(sentences, mentions)).join(sentences.select("doc_id", "ord", "sent_ix", "char_start", "char_end"), ["doc_id", "ord", "sent_ix"])
-    plans = settle(planner.plan_rows(rows, scored, ranked, profile, listener.lexicon))
-    return Build(judged, rows, scored, ranked, planner.beats_of(plans), planner.cards_of(plans))
+    said = document.described(clean.split_sentences(kept, "section"))
+    fields = [c for c in said.columns if c != "doc_id"]
+    rows = said.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("said")).join(heads, "doc_id", "left").join(titles, "doc_id", "left")
+    plans = laid_out(rows, fields, only, profile or Profile(), listener or Listener())
+    plans = written(plans) if keep else plans
+    return Build(judged, **{name: plans.select(*(() if name in ("beats", "cards") else ("doc_id",)), F.explode(name).alias("x")).select(*(() if name in ("beats", "cards") else ("doc_id",)), "x.*") for name in only})
+
+
+def laid_out(rows: DataFrame, fields: list[str], only: tuple[str, ...], profile: Profile, listener: Listener) -> DataFrame:
+    """(doc_id, the tables in ``only``) of rows (doc_id, said, heads, title): a document at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = ", ".join(["doc_id bigint", *(f"{name} {PARTS[name]}" for name in only)])
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            docs, said, heads, titles = (batch.column(c) for c in ("doc_id", "said", "heads", "title"))
+            for k in range(batch.num_rows):
+                values = said[k].values
+                sentences = [dict(zip(fields, v, strict=True)) for v in zip(*(values.field(i).to_pylist() for i in range(len(fields))), strict=True)]
+                headings = {h["ord"]: h["text"] for h in heads[k].as_py() or ()}
+                tables = dict(zip(("sentences", "concepts", "supports"), document.facts_of(sentences, headings, listener), strict=True))
+                doc = docs[k].as_py()
+                if "beats" in only or "cards" in only:
+                    plan = planner.Plan(profile, titles[k].as_py() or "", tables["sentences"], tables["concepts"], tables["supports"], listener.lexicon)
+                    tables |= {"beats": plan.rows(doc) if "beats" in only else [], "cards": plan.card_rows(doc)}
+                out.append((doc, *(tables[name] for name in only)))
+                if len(out) == RESULT_ROWS:
+                    yield gathered(out, schema)
+                    out = []
+            if out:
+                yield gathered(out, schema)
+
+    return rows.mapInArrow(run, ddl)
+
+
+def gathered(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of a document's id and its tables (lists of tuples or dicts) as one batch."""
+    ids, *tables = zip(*out, strict=True)
+    columns = [pa.array(ids, schema.field(0).type)]
+    for lists, field in zip(tables, list(schema)[1:], strict=True):
+        kind, ends, flat = field.type.value_type, [0], []
+        for rows in lists:
+            flat += rows
+            ends.append(len(flat))
+        take = (lambda r, i, name: r[name]) if flat and isinstance(flat[0], dict) else (lambda r, i, name: r[i])
+        cells = [[take(r, i, f.name) for r in flat] for i, f in enumerate(kind)]
+        cells = [pa.array([list(v.items()) for v in c] if pa.types.is_map(f.type) else c, f.type) for c, f in zip(cells, kind, strict=True)]
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cells, fields=list(kind)), type=field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a checkpoint in the cluster's shared folder; a folder of our own only where none is set (local tests).
-
-    What follows then plans against a plain scan, however many branches read it.
-    """
+def shared_folder(df: DataFrame) -> str:
+    """The cluster's shared folder; one of our own only where none is set (local tests)."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +40,11 @@ def settle(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="studyloom-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a compressed Parquet table in the shared folder (a checkpoint is not compressed)."""
+    path = f"{shared_folder(df)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
