@@ -11,14 +11,14 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
-from decimal import ROUND_HALF_EVEN, Decimal
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.config import Listener
 from studyloom.functions.spoken import GREEK
-from studyloom.functions.text import word_count
+from studyloom.functions.text import NBSP
 from studyloom.operators import concepts as ops
 from studyloom.schema import NON_CONTENT_ROLES
 
@@ -29,7 +29,15 @@ _BLANKS = re.compile(r"\s+", re.A)
 _ABSTRACT, _CONCRETE = re.compile("(" + "|".join(ops.ABSTRACT_SUFFIXES) + ")$"), re.compile("(" + "|".join(ops.CONCRETE_SUFFIXES) + ")$")
 _WORDS, _PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9_'-]*"), re.compile(r"[a-z][a-z'-]+")
 _CONNECTIVES, _CLAUSES = re.compile(r"\b(and|or|between|with|relative to|per|versus|while)\b", re.I | re.A), re.compile(r"\b(which|that|where|when|whose)\b", re.I | re.A)
-_BAG = re.compile(r"[a-z0-9_'-]+")
+_BAG, _DIGITS, _SOLID = re.compile(r"[a-z0-9_'-]+"), re.compile("[0-9]"), re.compile(r"\S+", re.A)
+
+
+def _alike(pattern: str) -> re.Pattern:
+    """The pattern as the column functions read it: ASCII classes and cases, word boundaries of any letters."""
+    return re.compile(pattern.replace(r"\b", r"(?u:\b)"), re.A)
+
+
+_AUTHOR, _DEFINES, _CAUSES, _HEDGE = map(_alike, (ops.AUTHOR_SIGNALS, ops.DEFINES, ops.CAUSES, ops.HEDGE))
 SIGNALS = (*ops.DIFFICULTY, *ops.IMPORTANCE)
 
 
@@ -43,14 +51,24 @@ def described(sentences: DataFrame) -> DataFrame:
         place = F.when(F.coalesce("role", F.lit("body")) == name, F.lit(value)).otherwise(place)
     yes = lambda test: F.coalesce(test, F.lit(False))
     content = yes(~F.col("kind").isin(ops.SKIP_KINDS) & ~F.col("role").isin(ops.SKIP_ROLES))
-    rows = sentences.withColumns({
-        "content": content, "prose": yes(~F.col("kind").isin("page_artifact", "reference", "caption") & ~F.col("role").isin(NON_CONTENT_ROLES)), "supports": yes(word_count("text").between(6, 35) & ~F.col("kind").isin("heading", "reference", "page_artifact", "caption")),
-        "definitional": F.col("text").rlike(ops.DEFINES), "causal": F.col("text").rlike(ops.CAUSES), "crowd": ops.crowding(F.col("text")), "author": F.col("text").rlike(ops.AUTHOR_SIGNALS), "place": place, "caption": yes(F.col("kind") == "caption"),
+    return sentences.withColumns({
+        "weight": weight, "content": content, "prose": yes(~F.col("kind").isin("page_artifact", "reference", "caption") & ~F.col("role").isin(NON_CONTENT_ROLES)), "supports": yes(~F.col("kind").isin("heading", "reference", "page_artifact", "caption")), "place": place, "caption": yes(F.col("kind") == "caption"),
         "acronyms": F.when(content & F.contains("text", F.lit("(")), groups(ops.ACRONYM, "a", "b")), "symbols": F.when(content & F.col("text").rlike(r"\sis\s"), groups(ops.SYMBOL, "a", "b")),
         "defined": F.when(content & F.col("text").rlike(ops.DEFINITIONAL_WORDS), F.concat(*(F.regexp_extract_all("text", F.lit(p), 1) for p in ops.DEFINITIONAL))),
-    })
-    score = weight + ops.informativeness(F.col("text")) + F.when(F.col("definitional"), 0.8).otherwise(0.0)
-    return rows.withColumn("score", F.when(F.col("supports"), score)).withColumn("order_score", F.round("score", 9)).drop("kind", "role")
+    }).drop("kind", "role")
+
+
+def judge(r: dict) -> None:
+    """What a sentence that mentions a concept is worth: ``crowding``, ``informativeness``, ``supports`` and their patterns."""
+    text = r["text"]
+    n, w, digits = len(_SOLID.findall(text.replace(NBSP, " "))), len(_WORDS.findall(text)), len(_DIGITS.findall(text))
+    r["crowd"] = w / 25.0 + digits / 20.0 + text.count(",") / 6.0 if w else None
+    r["author"], r["definitional"], r["causal"] = (p.search(text) is not None for p in (_AUTHOR, _DEFINES, _CAUSES))
+    r["supports"] = r["supports"] and 6 <= n <= 35
+    if r["supports"]:
+        worth = 0.5 * min(n / 25.0, 1.0) + 0.5 * min(digits / n * 4, 1.0) - (0.2 if _HEDGE.search(text) else 0.0)
+        r["score"] = r["weight"] + worth + (0.8 if r["definitional"] else 0.0)
+        r["order_score"] = Decimal(repr(r["score"])).quantize(Decimal("1e-9"), ROUND_HALF_UP)
 
 
 # ---------------------------------------------------------------- concepts
@@ -214,6 +232,9 @@ def facts_of(rows: list[dict], headings: dict[int, str], listener: Listener) ->
     named = candidates_of(rows)
     keyed = [(" ".join(ops.tokens_of(f)), c["concept_id"]) for c in named for f in {x.lower() for x in (c["canonical"], *c["aliases"])}]
     hits = hits_of(worded, keyed) if keyed else [Counter()] * len(rows)
+    for r, here in zip(rows, hits, strict=True):
+        if here:
+            judge(r)
     stated = definitions_of(rows, worded, [c["canonical"] for c in named if c["short_def"] is None])
     concepts = []
     for c in scored_of(named, rows, hits, listener) if named else []:

@@ -292,3 +292,24 @@ def test_a_build_holds_what_the_operators_say_and_deals_texts_once(spark):
     assert {(r.doc_id, r.ord, r.sent_ix, c) for r in b.sentences.collect() for c in r.concept_ids} == {(r.doc_id, r.ord, r.sent_ix, r.concept_id) for r in found.collect()}
     lean = build(blocks, cleaned=True, only=("beats",), keep=False).beats
     assert lean.count() == b.beats.count() and "Join" not in lean._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hints_let_through_whatever_the_spoken_patterns_find():
+    from studyloom.functions import spoken
+
+    said = ["E.G. this", "e. g. that", "I. e. so", "\u0130.e. so", "\u0131.e. so", "CF. it", "VS it", "v\u017f. it", "ETC.", "Approx. 3", "CA. 5", "Fig\u017f. 2", "EQS. 1", "REF. 4", "tab. 1", "NO. 7", "WRT x", "w.R.t. x", "AND/OR"]
+    for text in said:
+        found = [hint for pattern, _, hint in spoken._SHORT_FORMS if pattern.search(text)]
+        assert found and all(hint in spoken.folded(text) for hint in found)
+    for word in [*spoken.POINTED_AT, *spoken.CITED_TOO, *spoken.THINGS]:
+        assert any(hint in spoken.folded(word.upper()) for hint in spoken._POINTS_HINTS)
+    assert spoken.speak("It is 3.5 mV, e.g. (see Fig. 2) x_2 - a [b] in Li1.5Mn.") == "It is three point five millivolts, for example X sub two — a b in lithium one point five manganese."
+
+
+def test_cards_alone_are_laid_out_without_joins_or_checkpoints(spark):
+    from studyloom.plans.pipeline import build
+
+    blocks = clean.line_blocks(spark.createDataFrame([(1, "The cell wall is warm today and stays so.\n" * 5)], "doc_id long, text string").repartition("doc_id"))
+    cards = build(blocks, cleaned=True, only=("cards",), keep=False).cards
+    shape = cards._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in shape and shape.count("MapInArrow") == 1 and cards.count() > 0
