@@ -11,7 +11,7 @@ from studyloom.config import Profile
 from studyloom.functions.text import word_count
 from studyloom.operators import elaborate, evaluate, exposure, lint_script
 from studyloom.operators.triage import triage
-from studyloom.plans.pipeline import build
+from studyloom.plans.pipeline import build, metrics
 from studyloom.session import table
 
 QUERIES = {}
@@ -253,8 +253,8 @@ def lint_artefact_coh_01(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- whole builds
 
 
-def _build(spark: SparkSession, d: str, *only: str, keep: bool = False):  # noqa: ANN202
-    return build(lines(spark, d), cleaned=True, only=only, keep=keep)
+def _build(spark: SparkSession, d: str, *only: str):  # noqa: ANN202
+    return build(lines(spark, d), cleaned=True, only=only, keep=False)
 
 
 @query()
@@ -272,10 +272,7 @@ def plan_cards(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def build_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The metrics of every document's build."""
-    b = _build(spark, d, "concepts", "beats", "cards", keep=True)
-    live = b.beats.filter("NOT cut")
-    found, skipped = lint_script.lint_script(live, Profile(), cards=b.cards)
-    return evaluate.measure(b.blocks, b.beats, b.cards, b.concepts, found, rules_checked=len(lint_script.SCRIPT_RULES) - len(skipped), rules_skipped=len(skipped))
+    return metrics(lines(spark, d), cleaned=True)
 
 
 _METRICS = f"""m AS (SELECT 'doc' || ((doc_id + doc_id % 2) // 2) AS document, doc_id, round_even(count(*) FILTER (type = 'prompt') / 10.0::DOUBLE, 3) AS prompts_per_minute, count(*) FILTER (pause_after < 3) AS lint_errors, round_even(avg(CASE WHEN type = 'answer' THEN 1.0 ELSE 0.0 END), 3) AS grounded FROM b GROUP BY doc_id)"""

@@ -427,10 +427,15 @@ def spans_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def split_sentences(blocks: DataFrame, *also: str) -> DataFrame:
-    """(doc_id, ord, sent_ix, char_start, char_end, text, kind, role) of prose blocks, and the columns ``also`` of their block."""
-    prose = blocks.filter(~F.col("kind").isin("code", "equation", "page_artifact") & (F.trim("text") != ""))
-    spans = prose.withColumn("spans", sentence_spans("text")).select("doc_id", "ord", "kind", "role", *also, F.col("text").alias("block_text"), F.posexplode("spans").alias("sent_ix", "span"))
+def split_sentences(blocks: DataFrame, *also: str, only: Column | None = None) -> DataFrame:
+    """(doc_id, ord, sent_ix, char_start, char_end, text, kind, role) of prose blocks, and the columns ``also`` of their block.
+
+    With ``only`` no block is left out: those that it does not hold for, or without a sentence, are a row without one.
+    """
+    cut = ~F.col("kind").isin("code", "equation", "page_artifact") & (F.trim("text") != "")
+    prose = blocks.filter(cut).withColumn("spans", sentence_spans("text")) if only is None else blocks.withColumn("spans", sentence_spans(F.when(cut & only, F.col("text"))))
+    explode = F.posexplode if only is None else F.posexplode_outer
+    spans = prose.select("doc_id", "ord", "kind", "role", *also, F.col("text").alias("block_text"), explode("spans").alias("sent_ix", "span"))
     return spans.select("doc_id", "ord", "sent_ix", "span.char_start", "span.char_end", F.expr("substring(block_text, span.char_start + 1, span.char_end - span.char_start)").alias("text"), "kind", "role", *also)
 
 

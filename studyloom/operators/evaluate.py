@@ -43,6 +43,11 @@ def measure(blocks: DataFrame, beats: DataFrame, cards: DataFrame, concepts: Dat
         out = out.join(values_kept(live, study), "doc_id", "left")
     else:
         out = out.withColumn("values_raw", F.lit(1.0))
+    return shown(out, rules_checked, rules_skipped)
+
+
+def shown(out: DataFrame, rules_checked: int = 0, rules_skipped: int = 0) -> DataFrame:
+    """The metrics of documents out of their sums, counts and words."""
     ratio = lambda c, other: F.bround(F.coalesce(c, F.lit(other)), 3)
     return out.select(
         "doc_id", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("lint_errors", "lint_warnings")), F.lit(rules_checked).alias("rules_checked"), F.lit(rules_skipped).alias("rules_skipped"),

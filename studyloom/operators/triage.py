@@ -87,8 +87,12 @@ def triage(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("triage", decide(F.coalesce("kind", F.lit("unknown")), F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))))
 
 
+def is_retained() -> Column:
+    return (F.col("triage.action") != "drop") & (F.trim(spaced("text")) != "")
+
+
 def retained(blocks: DataFrame) -> DataFrame:
-    return blocks.filter((F.col("triage.action") != "drop") & (F.trim(spaced("text")) != ""))
+    return blocks.filter(is_retained())
 
 
 def dropped(blocks: DataFrame) -> DataFrame:

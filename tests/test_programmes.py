@@ -313,3 +313,84 @@ def test_cards_alone_are_laid_out_without_joins_or_checkpoints(spark):
     cards = build(blocks, cleaned=True, only=("cards",), keep=False).cards
     shape = cards._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in shape and shape.count("MapInArrow") == 1 and cards.count() > 0
+
+
+def scripts_at_random():
+    """(beats, cards, concepts) of documents that break every rule now and then."""
+    import random
+
+    pick = random.Random(7)
+    types = "prequestion prequestion_close preload exposition exposition gloss anchor analogy elaboration prompt answer recap callback callback transition figure table equation review".split()
+    starts = ["This is", "It follows that", "The former was", "THESE ſhow", "Their own", "Such\tgoes", "that was", "It was", "État is", "they becameé"]
+    more = ["the wall grew in 1999 and 2012", "the wall shrank by 1,250.50 or 0,5 or 3·10 or 007", "here's a way to picture it", "the table has a row", "a chart, in the written notes", "an axis. A diagram", "rises higher than Kelvin scale", "falls lower in 2012, 12019 or 1250.5.", "İ and more words so that eight of them stand in a row", "plot", "x" * 130]
+    ends = [".", "", ":", ". ", "\n", " ", ";\u0085", "!", "—\r\n", "? "]
+    said = lambda: f"{pick.choice(starts)} {' '.join(pick.sample(more, pick.randint(1, 3)))}{pick.choice(ends)}" if pick.random() < 0.95 else pick.choice(["", "  ", "\t"])
+    beats, cards, concepts = [], [], []
+    for doc in range(60):
+        ids = [f"c{k}" for k in range(5)]
+        concepts += [(doc, c, pick.choice([None, "a thing"])) for c in ids[:4]]
+        n = pick.choice([0, 0, 1, 3, 6])
+        cards += [(doc, f"k{k}", ids[k % 5], "s", "p", pick.choice(["", "Here's the answer about it. One.", "HERE'S THE ANSWER ABOUT a b. One.", "Here’s", "One.", " One. "]), "recall", 0.5, pick.choice([None, "s0", "s1"])) for k in range(n)]
+        texts = [said() for _ in range(12)]
+        places = sorted((r, s, g) for r, s, g in ((pick.choice([0, 1, 1, 1, 1, 2]), pick.randint(0, 2), pick.randint(0, 2)) for _ in range(pick.choice([1, 5, 40, 70]))))
+        for seq, (r, s, g) in enumerate(places):
+            region = ("opening", "body", "review")[r]
+            spans = pick.choice([None, [], [(1, 0, 5)]])
+            beats.append((doc, seq, region, f"s{s}" if r == 1 else None, g if r == 1 else None, f"t{doc}_{seq}", pick.choice(types), pick.choice(texts), pick.choice([None, " ", "", *texts]), pick.sample(ids, pick.randint(0, 4)), pick.choice([0.1, 7.3, 22.7, 44.9, 130.0]), pick.choice([0.0, 1.2, 2.0, 3.0]), pick.random() < 0.5, pick.choice([None, "k0", "k1", "k2", "k7"]), spans, pick.random() < (1.0 if doc == 3 else 0.1)))
+    return beats, cards, concepts
+
+
+def test_a_document_measured_alone_is_measured_as_by_the_operators(spark):
+    from collections import Counter, defaultdict
+
+    from studyloom.plans import measured, planner
+
+    beats, cards, concepts = scripts_at_random()
+    b, k = spark.createDataFrame(beats, planner.PLAN_BEATS).coalesce(1), spark.createDataFrame(cards, planner.PLAN_CARDS).coalesce(1)
+    c = spark.createDataFrame(concepts, "doc_id long, concept_id string, short_def string")
+    found, skipped = lint_script.lint_script(b.filter("NOT cut"), Profile(), cards=k)
+    assert skipped == measured.SKIPPED
+    found = found.localCheckpoint()
+    wanted = {(r.doc_id, r.rule, r.severity): r["count"] for r in found.groupBy("doc_id", "rule", "severity").count().collect()}
+    assert {rule for _, rule, _ in wanted} == set(measured.RULES)
+    got, rows = Counter(), []
+    of_doc = defaultdict(lambda: ([], [], []))
+    for n, table in enumerate((beats, cards, concepts)):
+        for r in table:
+            of_doc[r[0]][n].append(r)
+    for doc, (said, pool, named) in of_doc.items():
+        own = [planner.Card(*r[1:], (0, 0, 0)) for r in pool]
+        script = measured.Script([x for x in map(measured.Beat._make, said) if not x.cut], own, Profile())
+        for name, rule in measured.RULES.items():
+            got.update((doc, name, severity) for severity in rule(script) if script.beats or name in ("STR-02", "RET-06"))
+        if row := measured.measures_of(said, own, [{"concept_id": r[1], "short_def": r[2]} for r in named], Profile()):
+            rows.append((doc, 10, 7, *row, 1.0))
+    assert {x: (got[x], wanted.get(x)) for x in got.keys() | wanted.keys() if got[x] != wanted.get(x)} == {}
+    blocks = clean.line_blocks(spark.createDataFrame([(d, "The wall is warm today and so on, as it is.\nOne two three") for d in of_doc], "doc_id long, text string"))
+    words = F.lit(0.769)
+    alone = evaluate.shown(spark.createDataFrame(rows, f"doc_id long, all_words long, kept_words long, {measured.MEASURES}, values_raw double"), 16, 5).withColumn("words_retained", words)
+    together = evaluate.measure(triage.triage(blocks), b, k, c, found, rules_checked=16, rules_skipped=5).withColumn("words_retained", words)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, together.collect())) and len(rows) > 50
+
+
+def test_metrics_of_builds_write_and_shuffle_no_beats(spark, monkeypatch, tmp_path):
+    from studyloom.catalog import scripts
+    from studyloom.plans import pipeline
+
+    lines = ["Spectral drift is defined as the slow change of a baseline signal.", "We show that spectral drift, 3.5 mV in all, causes the cell wall stress because the lamp was warm.", "Copyright notice, all rights reserved.", "1 2 3 4 5 6 7 8 9", "The solid electrolyte interphase (SEI) may grow, and the cell wall stress rises.", "short one", " \t"]
+    texts = [(d, "\n".join(lines[(d + i * i) % 7] + (" Notably, spectral drift and the SEI met cell wall stress again." if i % 3 else "") for i in range(3 * d))) for d in range(9)]
+    spark.createDataFrame([*texts, (9, None), (10, lines[3]), (11, " "), (None, lines[1])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    blocks = scripts.lines(spark, str(tmp_path))
+    b = pipeline.build(blocks, cleaned=True)
+    found, skipped = lint_script.lint_script(b.beats.filter("NOT cut"), Profile(), cards=b.cards)
+    wanted = evaluate.measure(b.blocks, b.beats, b.cards, b.concepts, found, rules_checked=len(lint_script.SCRIPT_RULES) - len(skipped), rules_skipped=len(skipped))
+
+    def refuse(df):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(pipeline, "written", refuse)
+    got = scripts.QUERIES["build_metrics"](spark, str(tmp_path))
+    shape = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in shape and shape.count("MapInArrow") == 1 and shape.count("Exchange hashpartitioning") <= 2  # the texts, then their sentences
+    assert got.schema.simpleString() == wanted.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) and got.count() > 6
